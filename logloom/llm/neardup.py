@@ -23,6 +23,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.session import materialize
 
@@ -85,9 +86,13 @@ def _lists(one: DataFrame) -> DataFrame:
     return rows.select("cls", "n", F.explode(F.array_distinct(both)).alias("key"))
 
 
-@F.pandas_udf("double")
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, list(x), list(y)).ratio() for x, y in zip(a, b, strict=True)])
+def _ratio(a: str, b: str) -> Column:
+    """Twice the matched calls over all calls of two traces; 1 where both are empty."""
+
+    def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, list(p), list(q)).ratio() for p, q in zip(x, y, strict=True)])
+
+    return F.pandas_udf(ratios, T.DoubleType())(a, b)
 
 
 def similar_classes(one: DataFrame) -> DataFrame:
