@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.plans import nested
+from logloom.plans import curation, datasets, evaluation, nested, preprocess
 
-FLAGSHIP = "p3_shapes"
-_MODULES = [nested]
+FLAGSHIP = "agg_05_task_rewards"
+_MODULES = [evaluation, curation, datasets, preprocess, nested]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
