@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.plans import curation, datasets, evaluation, nested, preprocess
+from logloom.plans import curation, datasets, evaluation, inventory, nested, preprocess
 
 FLAGSHIP = "agg_05_task_rewards"
-_MODULES = [evaluation, curation, datasets, preprocess, nested]
+_MODULES = [evaluation, curation, datasets, preprocess, inventory, nested]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
