@@ -125,8 +125,30 @@ with l as (select trajectory_id, task_id, semantic_screening.confidence as confi
 """
 
 
+_NUM = r"^\s*[+-]?(0|[1-9][0-9]{0,24})(\.[0-9]{1,12})?([eE][+-]?[0-9]{1,2})?\s*$"
+_norm = lambda t: f"case when regexp_matches({t}, '{_NUM}') then regexp_replace(regexp_replace(case when contains(lower({t}), 'e') then cast({t} as double)::decimal(38,12)::varchar else cast(trim({t}) as decimal(38,12))::varchar end, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') else lower(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) end"
+_RUNS = f"""with o as (select trajectory_id, call_id, min(message_index) m, min(call_pos) p, min(name) as name, min(arguments) as arguments from tool_calls group by 1, 2),
+ a as (select *, case when json_valid(arguments) and json_type(arguments) = 'VARCHAR' then json_extract_string(arguments, '$') else arguments end as doc from o),
+ k as (select *, case when json_valid(doc) and json_type(doc) = 'OBJECT' then json_keys(doc) else [] end as ks from a),
+ e as (select *, list_transform(ks, lambda k: struct_pack(k := k, t := json_type(doc, '$."' || k || '"'), s := json_extract_string(doc, '$."' || k || '"'))) as es from k),
+ s as (select *, coalesce(name, '') || chr(3) || array_to_string(list_sort(list_filter(list_transform(es, lambda x: x.k || chr(1) || coalesce(case when x.t = 'ARRAY' then array_to_string(list_transform(cast(json(x.s) as varchar[]), lambda y: coalesce({_norm('y')}, '')), ',') else {_norm('x.s')} end, '')), lambda z: not ends_with(z, chr(1)))), chr(2)) || case when len(ks) = 0 and coalesce(doc, 'null') not in ('null', '{{}}') then lower(regexp_replace(doc, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) else '' end as sig from e),
+ b as (select *, sum(case when sig = ps then 0 else 1 end) over (partition by trajectory_id order by m, p rows unbounded preceding) as run from (select *, lag(sig) over (partition by trajectory_id order by m, p) as ps from s))
+ select trajectory_id, arg_min(call_id, m * 1000 + p) as first_call_id, arg_max(call_id, m * 1000 + p) as last_call_id from b group by trajectory_id, run having count(*) > 1"""
+_GROUPS = """with recursive k as (select distinct 't:' || cast(try_cast(regexp_extract(task_id, '([0-9]+)', 1) as bigint) as varchar) as t, user_id, order_ids, instructions.known_info as ki, derived_from from tasks where regexp_extract(task_id, '([0-9]+)', 1) <> ''),
+ n as (select t, 'u:' || lower(regexp_replace(u, '[^\\p{L}\\p{N}]+', '', 'g')) as x from (select t, unnest(list_concat([user_id], coalesce(regexp_extract_all(ki, '(?i)(?:you are|your (?:user|member) ?id is|member|user)\\s*:?\\s*([\\p{L}]+(?:[ _\\-]+[\\p{L}]+)+[ _\\-]+\\d+)', 1), []))) as u from k) where regexp_matches(u, '[0-9]') and regexp_matches(u, '\\p{L}')
+   union select t, 'o:' || regexp_replace(o, '\\D+', '', 'g') from (select t, unnest(list_concat(coalesce(order_ids, []), coalesce(regexp_extract_all(ki, '(?i)#?\\bw[ _\\-]?(\\d{5,})\\b', 1), []))) as o from k) where regexp_matches(o, '[1-9]')
+   union select t, 't:' || cast(try_cast(regexp_extract(derived_from, '([0-9]+)', 1) as bigint) as varchar) from k where regexp_extract(derived_from, '([0-9]+)', 1) <> ''
+   union select t, t from k),
+ e as (select a.t as a, b.t as b from n a join n b on a.x = b.x),
+ r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+ g as (select a as t, min(substr(b, 3)::bigint) as s from r where b in (select t from k) group by 1)
+ select s::varchar as group_task_id, substr(t, 3) as task_id from g where substr(t, 3) <> s::varchar"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _RUNS,
+        "p6_found": _GROUPS,
         "p5_found": _LATEST + "select task_id, trajectory_id from r where position <= 3",
         "p5_top10": _LATEST + "select task_id, position, trajectory_id, confidence from r where position <= 10",
     }
