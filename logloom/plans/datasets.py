@@ -13,7 +13,7 @@ from logloom.operators import credit as cr
 from logloom.operators import datasets as ds
 from logloom.operators import evaluation as ev
 from logloom.operators.nested import leaves
-from logloom.plans.curation import newest
+from logloom.plans.curation import _N, newest
 from logloom.plans.evaluation import runs
 from logloom.session import table
 
@@ -286,9 +286,19 @@ _SPANS = f"""{_TURNS}, f as (select distinct * from trajectory_features), b as (
  q as (select *, case when error then 0 else least(greatest(0.8 * progress * sqrt(least(all_tokens::double / tokens, 16)), 0), 1) end as q from sp)"""
 _FACTS = f"{_ONCE}, e as (select trajectory_id, task_id, message_index, family, coalesce(error, false) as error, unnest(json_keys(arguments)) as k, arguments from o where task_id is not null and json_valid(arguments) and json_type(arguments) = 'OBJECT'), fa as (select trajectory_id, task_id, message_index, family, error, k, json_extract_string(arguments, '$.\"' || k || '\"') as v from e)"
 
+_LEAVES = f"""{_N}, lt as (select trajectory_id, '' as path, outcome.reward_breakdown::json as v from l where json_valid(outcome.reward_breakdown) and outcome.reward_breakdown <> ''
+   union all select trajectory_id, case when path = '' then k else path || '.' || k end, json_extract(v, case when json_type(v) = 'ARRAY' then '$[' || k || ']' else '$."' || k || '"' end)
+   from (select trajectory_id, path, v, unnest(case when json_type(v) = 'OBJECT' then json_keys(v) when json_type(v) = 'ARRAY' then list_transform(range(0, json_array_length(v)::bigint), lambda i: i::varchar) else [] end) as k from lt)),
+ lv as (select trajectory_id, path, case when json_type(v) = 'VARCHAR' then json_extract_string(v, '$') else v::varchar end as value from lt where json_type(v) not in ('OBJECT', 'ARRAY', 'NULL'))"""
+_KNOWN = "['order_id', 'item_ids', 'new_item_ids', 'payment_id', 'street', 'city', 'postcode', 'reason', 'mail', 'first_name', 'last_name', 'member_id', 'item_id', 'article_id', 'article', 'colour', 'max_price', 'amount', 'quantity', 'summary', 'size', 'page']"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "jsn_02_embedded_json": "select record_id, coalesce(json_valid(regexp_extract(body, '(?s)(\\{.*\\})', 1)) and regexp_extract(body, '(?s)(\\{.*\\})', 1) <> '', false) as has_json from candidate_records",
+        "jsn_04_breakdown_leaves": f"with recursive {_LEAVES} select * from lv",
+        "set_08_breakdown_diff": f"with recursive {_LEAVES}, tk as (select trajectory_id, task_id from l where task_id is not null), fb as (select task_id, min(trajectory_id) as base_id from tk group by 1), own as (select tk.trajectory_id, path, value from tk join lv using (trajectory_id)), want as (select tk.trajectory_id, lv.path, lv.value as base_value from tk join fb using (task_id) join lv on lv.trajectory_id = fb.base_id) select coalesce(own.trajectory_id, want.trajectory_id) as trajectory_id, coalesce(own.path, want.path) as path, base_value, value from own full join want on own.trajectory_id = want.trajectory_id and own.path = want.path where value is distinct from base_value",
+        "flt_04_argument_keys": f"with c as (select distinct call_id, case when json_valid(arguments) and json_type(arguments) = 'OBJECT' then json_keys(arguments) else [] end as k from tool_calls where family = 'write'), r as (select call_id, case when list_contains(k, 'order_id') then '' else 'order_id' end as missing, array_to_string(list_sort(list_distinct(list_filter(k, lambda x: not list_contains({_KNOWN}, x)))), ',') as unexpected from c) select * from r where missing <> '' or unexpected <> ''",
         "agg_08_numeric_summary": f"with {_L} select kind, min(n_chars) as least, max(n_chars) as most, round(avg(n_chars), 6) as mean, {', '.join(f'round(quantile_cont(n_chars, {p}), 6) as {n}' for n, p in (('median', 0.5), ('p75', 0.75), ('p90', 0.9), ('p95', 0.95), ('p99', 0.99)))} from l group by 1",
         "agg_10_nearest_rank": f"with {_L} select kind, quantile_disc(n_chars, 0.9) as p90 from l group by 1",
         "agg_11_four_figures": f"with {_L} select kind, min(n_chars) as least, max(n_chars) as most, round(avg(n_chars), 6) as mean, round(median(n_chars), 6) as median from l group by 1",

@@ -204,6 +204,11 @@ _TRANS = f"""{_COMPARED}, z as (select comparison, task_id, count(*) as trials,
 _GT = lambda c: f"case when {c} = 0 then 'all_failure' when {c} = trials then 'all_success' else 'mixed' end"
 
 
+_SIG = f"""{_ONCE}, sg as (select *, case when json_valid(arguments) and json_type(arguments) = 'OBJECT' then array_to_string(list_sort(list_transform(json_keys(arguments), lambda k: k || chr(1) ||
+  case when json_type(arguments, '$."' || k || '"') in ('DOUBLE', 'BIGINT', 'UBIGINT') then cast(json_extract_string(arguments, '$."' || k || '"') as double)::varchar else json_extract(arguments, '$."' || k || '"')::varchar end)), chr(2)) else coalesce(arguments, '') end as doc from o),
+ sq as (select *, coalesce(name, '') || chr(3) || doc as sig, lag(coalesce(name, '') || chr(3) || doc) over (partition by trajectory_id order by message_index, call_pos) as before from sg)"""
+
+
 def oracle_sql() -> dict[str, str]:
     metrics = ["duration_seconds", "assistant_turns", "completion_tokens", "exact_repeated_calls", "consecutive_exact_retries"]
     return {
@@ -220,6 +225,8 @@ def oracle_sql() -> dict[str, str]:
         "agg_17_model_overview": f"with {_RUNS}, {_ONCE}, e as (select trajectory_id, count(*) calls, count(*) filter (error) errors from o group by 1), j as (select f.*, coalesce(e.calls, 0) calls, coalesce(e.errors, 0) errors from f left join e using (trajectory_id)) select model_label, count(*) as trajectories, count(*) filter (abs(reward - 1) <= 1e-6) as successes, round(avg(reward), 6) as avg_reward, round(avg(calls), 6) as avg_calls, round(avg(assistant_turns), 6) as avg_turns, round(avg(completion_tokens), 6) as avg_completion_tokens, round(coalesce(sum(errors) * 100.0 / nullif(sum(calls), 0), 0)::double, 4) as errors_per_100, count(*) filter (termination_reason not in ('user_stop', 'agent_stop')) as abnormal_terminations from j group by 1",
         "agg_15_tool_errors": f"with {_COHORTS}, {_ONCE}, z as (select cohort, count(distinct trajectory_id) as trajectories from c group by 1), j as (select c.cohort, o.* from o join c using (trajectory_id)) select z.cohort, case when family is null then 'all' when name is null then 'family' else 'tool' end as level, coalesce(family, '') as family, coalesce(name, '') as tool, trajectories, calls, errors, round(coalesce(errors * 100.0 / nullif(calls, 0), 0)::double, 4) as errors_per_100, affected_trajectories, affected_tasks from (select cohort, family, name, count(*) as calls, count(*) filter (error) as errors, count(distinct trajectory_id) filter (error) as affected_trajectories, count(distinct task_id) filter (error) as affected_tasks from j group by grouping sets ((cohort), (cohort, family), (cohort, family, name))) g join z on z.cohort = g.cohort",
         "agg_15_error_messages": f"""with {_ONCE}, m as (select lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(coalesce(error_text, '')), '^error:\\s*', '', 'i'), '#W\\d+', '<order_id>', 'gi'), '\\b\\d{{5,}}\\b', '<id>', 'g'), '\\s+', ' ', 'g'))) as t from o where error) select case when t = '' then 'unspecified tool error' else left(t, 240) end as message, count(*) as calls from m group by 1""",
+        "agg_21_call_features": f"with {_SIG} select trajectory_id, count(*) as total_calls, count(*) filter (error) as tool_errors, count(*) filter (error and family = 'read') as read_errors, count(*) filter (error and family = 'write') as write_errors, count(*) - count(distinct sig) as exact_repeated_calls, count(*) filter (sig = before) as consecutive_exact_retries from sq group by 1",
+        "win_06_consecutive": f"with {_SIG} select trajectory_id, count(*) filter (sig = before) as consecutive_exact_retries from sq group by 1 having count(*) filter (sig = before) > 0",
         "agg_18_transition_counts": f"with {_COMPARED} select comparison, transition, count(*) as trials from y group by 1, 2",
         "agg_18_matrix": f"with {_COMPARED}, t as (select comparison, task_id, count(*) filter (old) a, count(*) filter (new) b from y group by 1, 2), g as (select distinct comparison from y) select g.comparison, r.i as old_success, {', '.join(f'count(*) filter (t.b = {i}) as new_{i}' for i in range(5))} from g cross join (select unnest(range(0, 5)) as i) r left join t on t.comparison = g.comparison and t.a = r.i group by 1, 2",
         "agg_19_cohort_diagnostics": f"with {_PAIRS} select x.sft_to_vanilla as transition, count(*) as trials, {', '.join(f'round(coalesce(avg({c}), 0), 6) as avg_{c}' for c in ('assistant_turns', 'completion_tokens', 'exact_repeated_calls'))} from x join p on p.model_label = 'vanilla' and p.task_id = x.task_id and p.trial = x.trial group by 1",

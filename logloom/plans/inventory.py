@@ -14,7 +14,7 @@ from logloom.operators import datasets as ds
 from logloom.operators import evaluation as ev
 from logloom.operators import facts as fc
 from logloom.operators import ordering
-from logloom.plans.curation import _N, GREETINGS, SYSTEM, newest
+from logloom.plans.curation import _N, _TRAIN, GREETINGS, SYSTEM, newest
 from logloom.plans.evaluation import _ONCE, _PICK, _RUNS, runs
 from logloom.session import table, task_number
 
@@ -305,6 +305,11 @@ _NORM = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_repla
 _GREET = ", ".join("'" + g.replace("'", "''") + "'" for g in GREETINGS)
 
 
+_REFS = """ra as (select trajectory_id, task_id, arguments, unnest(json_keys(arguments)) as k from tool_calls where task_id is not null and json_valid(arguments) and json_type(arguments) = 'OBJECT'),
+ rk as (select *, case k when 'user_id' then 'user' when 'order_id' then 'order' when 'product_id' then 'product' when 'item_ids' then 'order_item' when 'new_item_ids' then 'item' when 'payment_method_id' then 'payment' end as ref_kind from ra),
+ rf as (select trajectory_id, task_id, ref_kind, unnest(case when json_type(arguments, '$."' || k || '"') = 'ARRAY' then cast(json_extract(arguments, '$."' || k || '"') as varchar[]) else [json_extract_string(arguments, '$."' || k || '"')] end) as id from rk where ref_kind is not null and json_type(arguments, '$."' || k || '"') <> 'NULL')"""
+
+
 def oracle_sql() -> dict[str, str]:
     calls = "coalesce(m.tool_calls, [])"
     blank = "trim(coalesce(m.content, '')) = ''"
@@ -322,6 +327,10 @@ def oracle_sql() -> dict[str, str]:
         "flt_14_alignment": f"with {_PICK}, a as (select task_id, trial, termination_reason t from p where model_label = 'sft'), b as (select task_id, trial, termination_reason t from p where model_label = 'vanilla'), j as (select coalesce(a.task_id, b.task_id) as task_id, coalesce(a.trial, b.trial) as trial, case when a.t is null then 'extra' when b.t is null then 'missing' when a.t <> b.t then 'ending differs' end as problem from a full join b on a.task_id = b.task_id and a.trial = b.trial) select * from j where problem is not null",
         "flt_19_max_length": "select kind, max(n_chars) as longest, (ceil(max(n_chars) / 512.0) * 512)::bigint as max_length from documents group by 1",
         "flt_22_limits": f"with {_N} select case when stats.tool_error_count > 3 then 'too_many_errors' when stats.message_count > 30 then 'max_steps' when outcome.duration_seconds > 90 then 'timeout' else 'none' end as stop, count(*) as sessions from l group by 1",
+        "flt_24_id_range": "with r as (select kind, list_transform(string_split(text, ''), lambda c: strlen(c)) as c from documents where text <> '') select kind, min(list_min(c)) as least, max(list_max(c)) as most from r group by 1",
+        "prj_06_training_rows": f"with {_TRAIN} select tr.trajectory_id, {_TN} as task_id, len(ms) + 1 as messages, '{{\"source_run\":\"' || coalesce(source_run, '') || '\",\"tier\":\"' || coalesce(tier, '') || '\"}}' as metadata from tr join l using (trajectory_id)",
+        "jsn_11_references": f"with {_REFS} select distinct task_id, ref_kind, id from rf",
+        "set_07_task_targets": f"with {_REFS}, {_RUNS}, gd as (select distinct trajectory_id, reward = 1 as good from f where reward is not null), j as (select rf.*, good from rf join gd using (trajectory_id)) select task_id, ref_kind, id from j where good except select task_id, ref_kind, id from j where not good",
         "jon_01_with_tasks": f"with {_N}, t as (select {_TN} as task_id, instructions.reason_for_call as r, updated_at from tasks), k as (select task_id, r from (select *, row_number() over (partition by task_id order by updated_at desc nulls last, r desc nulls last) rn from t) where rn = 1), c as (select trajectory_id, {_TN} as task_id from l) select trajectory_id, c.task_id, k.r as reason_for_call from c left join k on c.task_id = k.task_id where c.task_id is not null",
         "jon_02_calls_and_answers": f"with {_N}, {_M}, c as (select trajectory_id, pos, unnest(m.tool_calls) as c from u where m.role = 'assistant'), a as (select * from (select trajectory_id, m.tool_call_id as call_id, coalesce(m.error, false) as error, m.content as content, row_number() over (partition by trajectory_id, m.tool_call_id order by pos desc) rn from u where m.role = 'tool' and m.tool_call_id is not null) where rn = 1), j as (select c.trajectory_id, pos, c.c.id as call_id, c.c.name as name, a.rn is not null as answered, coalesce(a.error, false) as error, {_NORM} as t from c left join a on a.trajectory_id = c.trajectory_id and a.call_id = c.c.id) select trajectory_id, pos, call_id, name, answered, error, case when error then {_ERR} else '' end as error_text from j",
         "jon_08_read_before_write": f"with {_ONCE}, g as (select trajectory_id, min(message_index) filter (family = 'write') w, min(message_index) filter (name like 'find_member%') r from o group by 1) select trajectory_id, case when w is not null then coalesce(r < w, false) end as authenticated_first from g",
