@@ -130,12 +130,10 @@ def _slices(column: pa.Array) -> Iterator[list[bytes | None]]:
 def encode(df: DataFrame, text: str, out: str = "ids", path: str | None = None, counts_only: bool = False) -> DataFrame:
     """``df`` without ``text``, with ``out``: its ids (or, with ``counts_only``, how many).
 
-    All other columns are kept; one named ``out`` already is refused.
+    All other columns are kept; one that is called ``out`` already gives way.
     """
-    if out in df.columns and out != text:
-        raise ValueError(f"there is a column {out} already")
     path = path or tokenizer_path()
-    kept = [c for c in df.columns if c != text]
+    kept = [c for c in df.columns if c not in (text, out)]
     kind = T.IntegerType() if counts_only else T.ArrayType(T.IntegerType(), False)
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(out, kind, False)])
 

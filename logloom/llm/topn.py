@@ -41,29 +41,34 @@ def _number(keep: str) -> object:
     return run
 
 
+def _free(name: str, taken: Sequence[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def top_n(df: DataFrame, group: Column, order: Sequence[Column], n: int | Column) -> DataFrame:
     """Rows of ``df`` that are among the first ``n`` of their group, with ``position`` (from 1).
 
     ``order`` are sort expressions; they should end in an identifier, else rows
     that tie in all of them may swap places.  Rows with a null group are left
     out, rows with a null ``n`` too; repeated rows count as often as they
-    occur; ``n`` may be a column, equal within a group.  Input columns keep
-    their names; those beginning with ``__`` are refused.  Empty input gives
-    an empty result.
+    occur; ``n`` may be a column, equal within a group.  All columns of the
+    input are kept, whatever their names; only one called ``position`` gives
+    way to the new one.  Empty input gives an empty result.
     """
-    clash = [c for c in df.columns if c.startswith("__") or c == "position"]
-    if clash:
-        raise ValueError(f"reserved column names: {clash}")
-    keyed = df.select("*", group.cast("string").alias("__group"), (n if isinstance(n, Column) else F.lit(n)).cast("long").alias("__n"))
-    keyed = keyed.filter(F.col("__group").isNotNull() & (F.col("__n") > 0))
-    spread = keyed.repartitionByRange(F.col("__group").asc(), *order).sortWithinPartitions(F.col("__group").asc(), *order)
-    spread = spread.withColumn("__part", F.spark_partition_id())
-    schema = T.StructType([*spread.schema.fields, T.StructField("__local", T.LongType())])
-    local = spread.mapInArrow(_number("__n"), schema).repartition("__group")
+    kept = [c for c in df.columns if c != "position"]
+    grp, most = _free("__group", df.columns), _free("__n", df.columns)
+    keyed = df.select("*", group.cast("string").alias(grp), (n if isinstance(n, Column) else F.lit(n)).cast("long").alias(most))
+    keyed = keyed.filter(F.col(grp).isNotNull() & (F.col(most) > 0))
+    spread = keyed.repartitionByRange(F.col(grp).asc(), *order).sortWithinPartitions(F.col(grp).asc(), *order)
+    packed = spread.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.col(grp).alias("__group"), F.col(most).alias("__n"), F.spark_partition_id().alias("__part"))
+    schema = T.StructType([*packed.schema.fields, T.StructField("__local", T.LongType())])
+    local = packed.mapInArrow(_number("__n"), schema).repartition("__group")
     by_part = Window.partitionBy("__group", "__part")
     before = Window.partitionBy("__group").orderBy("__part", "__local").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # At a group's first row of a partition stands that partition's count; the sum up to here, less the own one, is what lies before.
     counted = local.withColumn("__count", F.max("__local").over(by_part))
     summed = F.sum(F.when(F.col("__local") == 1, F.col("__count")).otherwise(0)).over(before) - F.col("__count")
-    placed = counted.withColumn("position", (summed + F.col("__local")).cast("long"))
-    return placed.filter(F.col("position") <= F.col("__n")).select(*[F.col(f"`{c}`") for c in df.columns], "position")
+    placed = counted.withColumn("__at", (summed + F.col("__local")).cast("long"))
+    return placed.filter(F.col("__at") <= F.col("__n")).select(*[F.col("__row")[c].alias(c) for c in kept], F.col("__at").alias("position"))

@@ -76,5 +76,6 @@ def test_top_n_edges(spark):
     assert topn.top_n(df, F.col("g"), [F.col("v").asc()], 0).count() == 0
     assert topn.top_n(df, F.col("g"), [F.col("v").asc()], F.when(F.col("g") == "a", 1)).count() == 1
     assert topn.top_n(df.limit(0), F.col("g"), [F.col("v").asc()], 3).count() == 0
-    with pytest.raises(ValueError):
-        topn.top_n(df.withColumn("position", F.lit(1)), F.col("g"), [F.col("v").asc()], 1)
+    odd = df.withColumn("position", F.lit(-1)).withColumn("__group", F.lit("x")).withColumn("__n", F.lit("y")).withColumn("a.b", F.lit("z")).withColumn("__row", F.lit("r"))
+    got = topn.top_n(odd, F.col("g"), [F.col("v").asc()], 1).collect()
+    assert {(r.g, r.position, r["__group"], r["__n"], r["a.b"], r["__row"]) for r in got} == {("a", 1, "x", "y", "z", "r"), ("b", 1, "x", "y", "z", "r")}
