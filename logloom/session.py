@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -45,7 +46,9 @@ def scratch_dir(spark: SparkSession) -> str:
         set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_by_hand.get() if set_by_hand.isDefined() else None
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="logloom-")
+        own = tempfile.mkdtemp(prefix="logloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
