@@ -210,6 +210,19 @@ def oracle_sql() -> dict[str, str]:
         "agg_26_role_counts": f"with {_TRAIN}, u as (select unnest(ms).role as role from tr union all select 'system' from tr) select role, count(*) as messages from u group by 1",
         "prj_05_training_messages": f"with {_TRAIN} select trajectory_id, len(ms) + 1 as messages, ms[1].role as first_role, case when len(ms) > 0 then ms[-1].role else 'system' end as last_role from tr",
         "win_07_transitions": f"with {_N}, u as (select trajectory_id, unnest(list_zip(list_transform(messages[:-2], lambda m: m.role), list_transform(messages[2:], lambda m: m.role))) as p from l where len(messages) > 1) select p[1] as role, p[2] as next_role, count(*) as times from u group by 1, 2",
+        "flt_09_conversation_errors": f"""with {_TRAIN}, r as (select trajectory_id, ms, list_concat(['system'], list_transform(ms, lambda m: m.role)) as r, list_concat([0], list_transform(ms, lambda m: len({_CALLS}))) as k from tr),
+          e as (select trajectory_id, list_sort(list_filter([case when len(r) < 3 then 'too_short' end, case when not (r[-1] is not distinct from 'assistant' and k[-1] = 0) then 'bad_end' end,
+           case when len(list_filter(range(1, len(r)), lambda i: r[i + 1] is distinct from case when r[i] = 'system' then 'user' when r[i] in ('user', 'tool') then 'assistant' when r[i] = 'assistant' and k[i] > 0 then 'tool' else 'user' end)) > 0 then 'bad_transition' end,
+           case when len(list_filter(k, lambda x: x > 1)) > 0 then 'parallel_calls' end,
+           case when list_sort(flatten(list_transform(list_filter(ms, lambda m: m.role = 'assistant'), lambda m: list_transform({_CALLS}, lambda c: c.id)))) <> list_sort(list_transform(list_filter(ms, lambda m: m.role = 'tool'), lambda m: m.tool_call_id)) then 'unpaired_calls' end], lambda x: x is not null)) as x from r)
+          select trajectory_id, array_to_string(x, ',') as errors from e""",
+        "jon_07_recoveries": f"""with {_N}, u as (select trajectory_id, generate_subscripts(messages, 1) - 1 as pos, unnest(messages) as m from l where len(messages) > 0),
+          c0 as (select trajectory_id, pos, generate_subscripts(m.tool_calls, 1) as j, unnest(m.tool_calls) as c from u where m.role = 'assistant'),
+          c1 as (select trajectory_id, pos, j, c.id as id, c.name as name, case when json_valid(c.arguments) and json_type(c.arguments) = 'OBJECT' then array_to_string(list_sort(list_transform(json_keys(c.arguments), lambda k: k || chr(1) || json_extract(c.arguments, '$."' || k || '"')::varchar)), chr(2)) else c.arguments end as doc from c0),
+          c2 as (select *, row_number() over w - 1 as ord, lead(pos) over w as npos, lead(name) over w as nname, lead(doc) over w as ndoc from c1 window w as (partition by trajectory_id order by pos, j)),
+          a as (select trajectory_id, m.tool_call_id as id, min(pos) as apos, arg_min(coalesce(m.error, false), pos) as error from u where m.role = 'tool' and m.tool_call_id is not null group by 1, 2),
+          q as (select c2.*, a.apos, a.error, (select min(x.pos) from u x where x.trajectory_id = c2.trajectory_id and x.m.role = 'user' and x.pos > a.apos) as asked from c2 left join a on a.trajectory_id = c2.trajectory_id and a.id = c2.id)
+          select trajectory_id, ord::integer as ord, name, case when apos is null then 'missing_response' when asked is not null and (npos is null or asked < npos) then 'ask_user' when npos is null then 'abandon' when nname is distinct from name then 'alternate_tool' when ndoc is not distinct from doc then 'exact_retry' else 'corrected_retry' end as recovery from q where apos is null or error""",
         "mth_01_quality_score": f"with {_N} select trajectory_id, round(greatest(semantic_screening.confidence - 0.02 * least(stats.tool_error_count, 3) - 0.002 * greatest(stats.assistant_turns - 10, 0) - case when list_contains(screening.review_flags, 'long_trajectory') then 0.04 else 0 end - case when list_contains(screening.review_flags, 'many_tool_calls') then 0.04 else 0 end, 0), 6) as quality_score from l where semantic_screening.confidence is not null and not isnan(semantic_screening.confidence)",
         "jon_05_pending": f"with {_N} select trajectory_id, screening.task_rank as task_rank from l where screening.hard_pass and semantic_screening.decision is null",
         "jon_06_similarity_to_best": f"""with {_BEST}, w as (select trajectory_id, task_id, regexp_extract_all(lower(array_to_string(list_transform(list_filter(messages, lambda m: m.role in ('user', 'assistant') and m.content <> ''), lambda m: m.content), ' ')), '[a-z0-9]+') as w from r), g as (select trajectory_id, task_id, {_GRAMS} as g from w)
