@@ -177,7 +177,7 @@ MOST_ELIGIBLE = 20_000
 
 
 def select_greedily(eligible: DataFrame, target: int, least: int) -> DataFrame:
-    """The reference's two-phase greedy choice: ``trajectory_id, task_id, phase, score, selected_index``.
+    """The two-phase greedy choice: ``trajectory_id, task_id, phase, score, selected_index``.
 
     ``eligible(trajectory_id, task_id, tier, quality, task_rank, grams, trace)``.
     Each pick changes the scores of the rest, so picks follow one another in a
