@@ -52,3 +52,23 @@ def test_shapes_tell_variants_apart(spark):
     assert nested.shape({"role": "user", "content": "x"}) == "message(content: text, role: text)"
     assert nested.shape('{"a": 1}') == "boxed map(a: number)" and nested.shape([1, None]) == "list of nil|number"
     assert nested.shapes(flat(spark, [json.dumps(BODY)])).filter("entity = 'call'").count() == 2
+
+
+def test_states_route_objects_wherever_they_stand(spark):
+    call = {"id": "c1", "name": "f", "arguments": {"order": {"role": "user", "content": "no message", "tool_calls": []}, "reward_breakdown": {"no": 1}}}
+    body = {
+        "trajectory_id": "t", "outcome": {"details": {"reward_breakdown": {"D": 1}}}, "pending": [{"id": "c9", "function": {"name": "h", "arguments": "{}"}}],
+        "episode": json.dumps({"talk": [{"role": "assistant", "content": None, "parts": {"deep": [call]}, "reward_breakdown": {"turn": True}}, {"role": "tool", "tool_call_id": "c1", "content": json.dumps([call])}]}),
+        "audit": {"expected_actions": [{"action_id": "a", "name": "f", "arguments": {}}], "tools": [{"type": "function", "function": {"name": "f", "parameters": {}}}], "messages": 12},
+    }
+    tables = nested.tables(flat(spark, [json.dumps(body), json.dumps({"batch": [{"trajectory_id": "u", "messages": [{"role": "user", "content": "x"}]}]})]).cache())
+    assert {(r.id, r.path, r.parent, r.message_pos, r.answer_pos) for r in tables["call"].collect()} == {("c9", "$.pending[0]", "$", -1, -1), ("c1", "$.episode.talk[0].parts.deep[0]", "$.episode.talk[0]", 0, 1)}
+    assert {(r.trajectory_id, r.path, r.parent) for r in tables["message"].collect()} == {("t", "$.episode.talk[0]", "$"), ("t", "$.episode.talk[1]", "$"), ("u", "$.batch[0].messages[0]", "$.batch[0]")}
+    assert {(r.item, r.parent) for r in tables["reward"].collect()} == {("D", "$"), ("turn", "$.episode.talk[0]")}
+    assert {(r.trajectory_id, r.path) for r in tables["candidate"].collect()} == {("t", "$"), ("u", "$.batch[0]")}
+
+
+def test_shapes_differ_at_any_depth():
+    deep = lambda x: nested.parse_record("k", json.dumps({"messages": [{"role": "user", "content": "x", "a": {"b": {"c": {"d": x}}}}]}))[1]["shape"]
+    assert deep(1) != deep("1") and deep(1) == deep(2)
+    assert nested.parse_record("k", json.dumps({"id": "x", "a": json.loads("[" * 900 + "]" * 900)}))[0]["trajectory_id"] == "x"
