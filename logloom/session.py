@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
+_bucketed: dict[str, str] = {}
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -38,14 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share: what ``spark.checkpoint.dir`` names.
 
-    Only where the session names none (tests on one machine) a local folder is
-    made and set.
+    Only where the session names none and runs on one machine (tests) a local
+    folder is made and set; a cluster without one is an error, since each
+    executor would write to its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_by_hand.get() if set_by_hand.isDefined() else None
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="logloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -53,17 +58,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs no recomputation of what came
-    before, and readers of the result still prune columns.
+    before, and readers of the result still prune columns.  ``by`` are columns
+    to bucket the rows by, as many buckets as a shuffle has partitions: joins
+    and aggregations on them then read the table where it lies.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/logloom/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    own = f"{name}_{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_dir(spark)}/logloom/{own}"
+    if by:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(n, *by).write.format("parquet").option("path", path).bucketBy(n, *by).saveAsTable(f"logloom_{own}")
+        _bucketed[path] = f"logloom_{own}"
+        out = spark.table(_bucketed[path])
+    else:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
     _written[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
     out._logloom_path = path  # type: ignore[attr-defined]
     return out
 
@@ -77,6 +91,8 @@ def drop(*frames: DataFrame | None) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _bucketed:
+        spark.sql(f"DROP TABLE IF EXISTS `{_bucketed.pop(path)}`")
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
