@@ -135,7 +135,7 @@ _RUNS = f"""with o as (select trajectory_id, call_id, min(message_index) m, min(
  b as (select *, sum(case when sig = ps then 0 else 1 end) over (partition by trajectory_id order by m, p rows unbounded preceding) as run from (select *, lag(sig) over (partition by trajectory_id order by m, p) as ps from s))
  select trajectory_id, arg_min(call_id, m * 1000 + p) as first_call_id, arg_max(call_id, m * 1000 + p) as last_call_id from b group by trajectory_id, run having count(*) > 1"""
 _GROUPS = """with recursive k as (select distinct 't:' || cast(try_cast(regexp_extract(task_id, '([0-9]+)', 1) as bigint) as varchar) as t, user_id, order_ids, instructions.known_info as ki, derived_from from tasks where regexp_extract(task_id, '([0-9]+)', 1) <> ''),
- n as (select t, 'u:' || lower(regexp_replace(u, '[^\\p{L}\\p{N}]+', '', 'g')) as x from (select t, unnest(list_concat([user_id], coalesce(regexp_extract_all(ki, '(?i)(?:you are|your (?:user|member) ?id is|member|user)\\s*:?\\s*([\\p{L}]+(?:[ _\\-]+[\\p{L}]+)+[ _\\-]+\\d+)', 1), []))) as u from k) where regexp_matches(u, '[0-9]') and regexp_matches(u, '\\p{L}')
+ n as (select t, 'u:' || lower(regexp_replace(u, '[^\\p{L}\\p{N}]+', '', 'g')) as x from (select t, user_id as u from k union select t, unnest(regexp_extract_all(lower(ki), '[a-z]+[ _-]+[a-z]+[ _-]+[0-9]{6}')) from k) where regexp_matches(u, '[0-9]') and regexp_matches(u, '\\p{L}')
    union select t, 'o:' || regexp_replace(o, '\\D+', '', 'g') from (select t, unnest(list_concat(coalesce(order_ids, []), coalesce(regexp_extract_all(ki, '(?i)#?\\bw[ _\\-]?(\\d{5,})\\b', 1), []))) as o from k) where regexp_matches(o, '[1-9]')
    union select t, 't:' || cast(try_cast(regexp_extract(derived_from, '([0-9]+)', 1) as bigint) as varchar) from k where regexp_extract(derived_from, '([0-9]+)', 1) <> ''
    union select t, t from k),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm.components import components
+from logloom.llm.components import components, ordered
 from logloom.session import materialize, task_number
 
 #: A component of more than one in LARGE of all members is placed by itself, so there are fewer than LARGE of them.
@@ -16,7 +16,8 @@ LARGE, BUCKETS = 200, 4096
 
 # What stands in an id's place where nobody or no order is known.
 PLACEHOLDERS = ["", "guest", "unknown", "na", "none", "null", "nil", "anonymous", "anon", "tbd", "test", "nobody", "notavailable", "missing", "undefined"]
-_MEMBER = r"(?i)(?:you are|your (?:user|member) ?id is|member|user)\s*:?\s*([\p{L}]+(?:[ _\-]+[\p{L}]+)+[ _\-]+\d+)"
+# What stands before a user's id, and an id: words and at least three digits.
+_MEMBER = r"(?i)\b(?:you are|(?:member|user)(?:[ _]?(?:id|name|number))?(?: is)?)\s*:?\s*((?:\p{L}+[ _\-]+)+\d{3,})"
 _ORDER = r"(?i)#?\bw[ _\-]?(\d{5,})\b"
 
 
@@ -37,15 +38,17 @@ def order_key(col: Column) -> Column:
 
 
 def task_links(tasks: DataFrame) -> DataFrame:
-    """``src`` (a task, as ``t:<number>``) and ``dst`` (what it shares: ``u:``, ``o:`` or ``t:``)."""
+    """``src, dst``: each task (a plain number) with the task of least hash among those that share a user, an order or an
+    origin with it, once for each of these; a task that shares nothing with itself.  So what is shared needs no node of its own."""
     known = F.col("instructions.known_info")
-    task = F.concat(F.lit("t:"), task_number(F.col("task_id")))
+    task = task_number(F.col("task_id"))
     people = F.transform(F.array_append(F.coalesce(F.regexp_extract_all(known, F.lit(_MEMBER), 1), F.array().cast("array<string>")), F.col("user_id")), person_key)
     orders = F.transform(F.concat(F.coalesce(F.regexp_extract_all(known, F.lit(_ORDER), 1), F.array().cast("array<string>")), F.coalesce("order_ids", F.array().cast("array<string>"))), order_key)
-    origin = F.array(F.concat(F.lit("t:"), task_number(F.col("derived_from"))))
     tag = lambda found, mark: F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: F.concat(F.lit(mark), x))
-    keys = F.concat(tag(people, "u:"), tag(orders, "o:"), tag(origin, ""), F.array(task))
-    return tasks.select(task.alias("src"), F.explode(keys).alias("dst")).filter("src IS NOT NULL").distinct()
+    keys = F.concat(tag(people, "u:"), tag(orders, "o:"), tag(F.array(task_number(F.col("derived_from"))), "t:"), tag(F.array(task), "t:"))
+    held = materialize(tasks.select(task.alias("src"), F.explode(keys).alias("key")).filter("src IS NOT NULL").distinct(), "held")
+    least = held.groupBy("key").agg(F.min(ordered("src")).alias("least"))
+    return held.join(least, "key").select("src", F.substring("least", 18, 1 << 30).alias("dst"))
 
 
 def task_groups(tasks: DataFrame) -> DataFrame:
@@ -56,10 +59,8 @@ def task_groups(tasks: DataFrame) -> DataFrame:
     Null or numberless task ids are left out; all rows of a repeated id count.
     """
     found = components(task_links(tasks))
-    rows = materialize(found.filter(F.col("node").startswith("t:")).select(F.substring("node", 3, 99).alias("task_id"), "component"), "tasks")
-    own = tasks.select(task_number(F.col("task_id")).alias("task_id")).filter("task_id IS NOT NULL").distinct()
-    smallest = rows.join(own, "task_id", "left_semi").groupBy("component").agg(F.min(F.col("task_id").cast("decimal(38,0)")).cast("string").alias("group_task_id"))
-    return rows.join(own, "task_id", "left_semi").join(smallest, "component").select("task_id", "group_task_id")
+    smallest = found.groupBy("component").agg(F.min(F.struct(F.length("node"), "node"))["node"].alias("group_task_id"))  # plain numbers, so shorter is smaller
+    return found.join(smallest, "component").select(F.col("node").alias("task_id"), "group_task_id")
 
 
 def assign_splits(groups: DataFrame, member: str, group: str, shares: Mapping[str, float]) -> DataFrame:

@@ -23,9 +23,11 @@ def union_find(edges):
     return {frozenset(y for y in parent if find(y) == find(x)) for x in list(parent)}
 
 
-def test_components_match_union_find(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_match_union_find(spark, monkeypatch, small):
     monkeypatch.setattr(components, "LEAST_HUB", 20)
     monkeypatch.setattr(components, "HUB_SHARE", 4)
+    monkeypatch.setattr(components, "SMALL", small)
     rng = random.Random(4)
     edges = [(f"n{i}", f"n{i + 1}") for i in range(60)] + [("hub", f"leaf{i}") for i in range(80)] + [(f"r{rng.randrange(60)}", f"r{rng.randrange(60)}") for _ in range(50)] + [("self", "self"), ("x", "y"), ("y", "x")]
     df = spark.createDataFrame([*edges, (None, "a"), ("b", None)], "src string, dst string")
@@ -44,6 +46,10 @@ def tasks(spark, rows):
 
 
 def test_task_groups_over_spellings(spark):
+    said = ["You are {}.", "(member: {})", "Your member name is  {} .", "Your user id is {}.", "Your member id: {}", "Member {} writes. You have placed 4 orders."]
+    told = [(str(50 + i), "guest", [], None, "You do not recall it. " + text.format(name)) for i, (text, name) in enumerate(zip(said, ["mo_ka_221", "Mo Ka 221", "MO-KA-221", "mo_ka_221", "mo ka 221", "mo_ka_221"], strict=True))]
+    got = {r.task_id: r.group_task_id for r in splits.task_groups(tasks(spark, told)).collect()}
+    assert got == {str(50 + i): "50" for i in range(len(said))}
     rows = [
         ("10", "Ann_Bee-Cee_100", None, None, None), ("2", "guest", [], None, "x. You are ann beecee 100 ."), ("3", None, ["#W-00000012", None], None, None), ("004", "N/A", None, None, "It concerns w00000012."), ("5", "", None, "task 3", None),
         ("6", "guest", ["#W00000000"], "", "You have 3 orders."), ("7", "unknown", ["#W00000000"], None, None), ("8", "kim_po_1", None, "0009", None), ("8", "lee_ra_2", None, None, None), ("9", "lee ra 2", None, None, None), (None, "lee_ra_2", None, None, None),
