@@ -125,15 +125,18 @@ with l as (select trajectory_id, task_id, semantic_screening.confidence as confi
 """
 
 
-_NUM = r"^\s*[+-]?(0|[1-9][0-9]{0,24})(\.[0-9]{1,12})?([eE][+-]?[0-9]{1,2})?\s*$"
-_norm = lambda t: f"case when regexp_matches({t}, '{_NUM}') then regexp_replace(regexp_replace(case when contains(lower({t}), 'e') then cast({t} as double)::decimal(38,12)::varchar else cast(trim({t}) as decimal(38,12))::varchar end, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') else lower(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) end"
-_RUNS = f"""with o as (select trajectory_id, call_id, min(message_index) m, min(call_pos) p, min(name) as name, min(arguments) as arguments from tool_calls group by 1, 2),
- a as (select *, case when json_valid(arguments) and json_type(arguments) = 'VARCHAR' then json_extract_string(arguments, '$') else arguments end as doc from o),
- k as (select *, case when json_valid(doc) and json_type(doc) = 'OBJECT' then json_keys(doc) else [] end as ks from a),
- e as (select *, list_transform(ks, lambda k: struct_pack(k := k, t := json_type(doc, '$."' || k || '"'), s := json_extract_string(doc, '$."' || k || '"'))) as es from k),
- s as (select *, coalesce(name, '') || chr(3) || array_to_string(list_sort(list_filter(list_transform(es, lambda x: x.k || chr(1) || coalesce(case when x.t = 'ARRAY' then array_to_string(list_transform(cast(json(x.s) as varchar[]), lambda y: coalesce({_norm('y')}, '')), ',') else {_norm('x.s')} end, '')), lambda z: not ends_with(z, chr(1)))), chr(2)) || case when len(ks) = 0 and coalesce(doc, 'null') not in ('null', '{{}}') then lower(regexp_replace(doc, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) else '' end as sig from e),
+# Arguments as the set of their leaves' paths and values, so that neither order nor layout counts.
+_NUM = r"^\s*[+-]?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\s*$"
+_LEAF = f"case when regexp_matches(t, '{_NUM}') then '#' || regexp_replace(regexp_replace(case when contains(lower(t), 'e') then cast(t as double)::decimal(38,12)::varchar else cast(trim(t) as decimal(38,12))::varchar end, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') else lower(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) end"
+_RUNS = f"""with o as (select trajectory_id, call_id, min(message_index) m, min(call_pos) p, min(name) as name, min(arguments) as arguments, min(called_at) as b, min(coalesce(finished_at, called_at)) as e from tool_calls group by 1, 2),
+ a as (select distinct arguments, case when json_valid(arguments) and json_type(arguments) = 'VARCHAR' then json_extract_string(arguments, '$') else arguments end as doc from o),
+ j as (select arguments, case when json_valid(doc) then doc else cast(to_json(doc) as varchar) end as doc from a where arguments is not null),
+ l as (select arguments, fullkey as k, json_extract_string(doc, fullkey) as t from j, json_tree(doc) where atom is not null and type <> 'NULL'),
+ n as (select arguments, k, {_LEAF} as v from l),
+ g as (select arguments, string_agg(k || chr(1) || v, chr(2) order by k) as sig from n where v <> '' group by 1),
+ s as (select o.*, coalesce(name, '') || chr(3) || coalesce(sig, '') as sig from o left join g using (arguments)),
  b as (select *, sum(case when sig = ps then 0 else 1 end) over (partition by trajectory_id order by m, p rows unbounded preceding) as run from (select *, lag(sig) over (partition by trajectory_id order by m, p) as ps from s))
- select trajectory_id, arg_min(call_id, m * 1000 + p) as first_call_id, arg_max(call_id, m * 1000 + p) as last_call_id from b group by trajectory_id, run having count(*) > 1"""
+ select trajectory_id, arg_min(call_id, m * 1000 + p) as first_call_id, arg_max(call_id, m * 1000 + p) as last_call_id, count(*) as n, greatest(date_diff('microsecond', arg_min(b, m * 1000 + p), arg_max(e, m * 1000 + p)) / 1e6, 0.0) as seconds from b group by trajectory_id, run"""
 _GROUPS = """with recursive k as (select distinct 't:' || cast(try_cast(regexp_extract(task_id, '([0-9]+)', 1) as bigint) as varchar) as t, user_id, order_ids, instructions.known_info as ki, derived_from from tasks where regexp_extract(task_id, '([0-9]+)', 1) <> ''),
  n as (select t, 'u:' || lower(regexp_replace(u, '[^\\p{L}\\p{N}]+', '', 'g')) as x from (select t, user_id as u from k union select t, unnest(regexp_extract_all(lower(ki), '[a-z]+[ _-]+[a-z]+[ _-]+[0-9]{6}')) from k) where regexp_matches(u, '[0-9]') and regexp_matches(u, '\\p{L}')
    union select t, 'o:' || regexp_replace(o, '\\D+', '', 'g') from (select t, unnest(list_concat(coalesce(order_ids, []), coalesce(regexp_extract_all(ki, '(?i)#?\\bw[ _\\-]?(\\d{5,})\\b', 1), []))) as o from k) where regexp_matches(o, '[1-9]')
@@ -147,7 +150,11 @@ _GROUPS = """with recursive k as (select distinct 't:' || cast(try_cast(regexp_e
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": _RUNS,
+        "p1_found": f"select trajectory_id, first_call_id, last_call_id from ({_RUNS}) where n > 1",
+        "p1_runs": f"select trajectory_id, first_call_id, last_call_id, n as run_length, seconds as duration_seconds from ({_RUNS})",
+        "p1_retries": f"""with r as (select trajectory_id, sum(n)::bigint as calls, count(*) as runs, sum(n - 1)::bigint as retries_in_runs, max(n) as longest_run from ({_RUNS}) group by 1),
+            f as (select trajectory_id, max(consecutive_exact_retries) as consecutive_exact_retries, max(exact_repeated_calls) as exact_repeated_calls from trajectory_features group by 1)
+            select r.*, consecutive_exact_retries, exact_repeated_calls from r left join f using (trajectory_id)""",
         "p6_found": _GROUPS,
         "p5_found": _LATEST + "select task_id, trajectory_id from r where position <= 3",
         "p5_top10": _LATEST + "select task_id, position, trajectory_id, confidence from r where position <= 10",

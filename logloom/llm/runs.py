@@ -15,38 +15,97 @@ other columns of the input, whatever their names, have no effect.
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _decimal_text(text: Column) -> Column:
-    """A number's text without trailing zeros, by value: 1.50, 1.5 and 15e-1 agree."""
-    fixed = F.when(text.rlike("[eE]"), text.cast("double").cast("decimal(38,12)")).otherwise(text.cast("decimal(38,12)"))
-    shown = F.regexp_replace(fixed.cast("string"), r"(\.\d*?)0+$", "$1")
-    return F.regexp_replace(F.regexp_replace(shown, r"\.$", ""), r"^-0$", "0")
+#: A number as JSON writes it, maybe with a plus: sign, whole digits, decimals and exponent (an exponent beyond 18 digits makes it a text).
+_NUMBER = r"^\s*([+-]?)(0|[1-9][0-9]*)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]{1,18}))?\s*$"
+#: What holds an object in an object or a list in a list, or may do so.
+_DEEP = r"(?s)^.[^{]*\{|\[[^\]]*\["
 
 
 def _plain(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
-_NUMBER = r"^\s*[+-]?(0|[1-9][0-9]{0,24})(\.[0-9]{1,12})?([eE][+-]?[0-9]{1,2})?\s*$"
+def _number(text: Column) -> Column:
+    """A number's exact value as text, whatever its length: 1.50, 1.5 and 15e-1 agree."""
+    part = lambda i: F.regexp_extract(text, _NUMBER, i)
+    digits = F.ltrim(F.concat(part(2), part(3)), F.lit("0"))
+    core = F.rtrim(digits, F.lit("0"))
+    power = F.coalesce(F.nullif(part(4), F.lit("")).cast("long"), F.lit(0)) - F.length(part(3)) + F.length(digits) - F.length(core)
+    return F.when(core == "", "#0").otherwise(F.concat(F.lit("#"), F.when(part(1) == "-", "-").otherwise(""), core, F.lit("e"), power.cast("string")))
 
 
 def _scalar(text: Column) -> Column:
     """Numbers by value; all else by letters and digits, ignoring case."""
-    number = F.when(text.rlike(_NUMBER), _decimal_text(F.trim(text)))
-    return F.coalesce(number, _plain(text))
+    return F.when(text.rlike(_NUMBER), _number(text)).otherwise(_plain(text))
+
 
+def _value(text: Column) -> Column:
+    """One flat value in normal form; null or empty where it has none."""
+    items = F.from_json(F.when(text.rlike(r"(?s)^\s*\[.*\]\s*$"), text), "array<string>")
+    return F.coalesce(F.array_join(F.transform(items, lambda x: F.coalesce(_scalar(x), F.lit(""))), ","), _scalar(text))
 
-def _listed(text: Column) -> Column:
-    items = F.from_json(text, "array<string>")
-    return F.array_join(F.transform(items, lambda x: F.coalesce(_scalar(x), F.lit(""))), ",")
 
+class _Raw(str):
+    """A number as it was written."""
 
-def _value(text: Column) -> Column:
-    """One field's value in normal form; null or empty where it has none."""
-    return F.when(text.startswith("["), _listed(text)).when(text.startswith("{"), _plain(text)).otherwise(_scalar(text))
+    __slots__ = ()
+
+
+def _load(text: str) -> object:
+    return json.loads(text, parse_float=_Raw, parse_int=_Raw, parse_constant=str)
+
+
+def normal_text(value: object) -> str:
+    """Any value in normal form, to any depth; of flat ones the same text as ``_value`` makes."""
+    if value is None:
+        return ""
+    if isinstance(value, str):
+        if value.lstrip()[:1] in ("[", "{") and value.rstrip()[-1:] in ("]", "}"):
+            try:
+                return normal_text(_load(value))
+            except (ValueError, RecursionError):
+                pass
+        m = _NUMBER_RE.match(value)
+        if not m:
+            return "".join(c for c in value if c.isalnum()).lower()
+        sign, whole, part, power = (x or "" for x in m.groups())
+        digits = (whole + part).lstrip("0")
+        core = digits.rstrip("0")
+        return f"#{'-' * (sign == '-')}{core}e{int(power or 0) - len(part) + len(digits) - len(core)}" if core else "#0"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, list):
+        return ",".join(f"[{normal_text(x)}]" if isinstance(x, list) else normal_text(x) for x in value)
+    assert isinstance(value, dict)
+    held = ((k, normal_text(v)) for k, v in value.items())
+    pairs = sorted((f"{k}\x01{v}" for k, v in held if v), key=lambda p: p.encode("utf-8", "replace"))
+    return "{" + "\x02".join(pairs) + "}" if pairs else ""
+
+
+_NUMBER_RE = re.compile(_NUMBER.replace("$", r"\Z"), re.ASCII)
+
+
+@F.pandas_udf(T.StringType())
+def _deep(docs: pd.Series) -> pd.Series:
+    """The normal form of nested documents; null for null and for what is no object."""
+
+    def one(doc: str | None) -> str | None:
+        try:
+            value = None if doc is None else _load(doc)
+        except (ValueError, RecursionError):
+            return None
+        return normal_text(value).strip("{}").encode("utf-8", "replace").decode() if isinstance(value, dict) else None
+
+    return docs.map(one, na_action="ignore").astype(object)
 
 
 def with_same_arguments(df: DataFrame, arguments: str, out: str) -> DataFrame:
@@ -54,22 +113,24 @@ def with_same_arguments(df: DataFrame, arguments: str, out: str) -> DataFrame:
 
     Field order, layout, a document stored as a JSON string, fields without a
     value (null, empty, blank), the way a number is written, case and
-    punctuation don't matter.  Lists keep their order.  What is no JSON object
-    counts by letters and digits; null and empty text count as no arguments.
-    Parsing goes in steps of one projection each, so nothing is parsed twice.
+    punctuation don't matter, at any depth.  Lists keep their order.  What is
+    no JSON object counts by value or by letters and digits; null and empty
+    text count as no arguments.  Parsing goes in steps of one projection each,
+    so nothing is parsed twice; only nested documents go through Python.
     """
     raw = F.trim(F.col(arguments))
     unboxed = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>")[0]
-    fields = F.map_entries(F.from_json(F.col("__doc"), "map<string,string>"))
+    doc = F.col("__doc")
+    fields = F.map_entries(F.from_json(doc, "map<string,string>"))
     pairs = F.transform("__fields", lambda e: F.concat(e["key"], F.lit("\x01"), _value(e["value"])))
     stepped = (
         df.withColumn("__doc", F.when(raw.startswith('"'), F.trim(unboxed)).otherwise(raw))
-        .withColumn("__fields", F.when(F.col("__doc").startswith("{"), fields))
+        .withColumn("__deep", _deep(F.when(doc.startswith("{") & doc.rlike(_DEEP), doc)))
+        .withColumn("__fields", F.when(F.col("__deep").isNull() & doc.startswith("{"), fields))
         .withColumn("__pairs", F.sort_array(F.filter(pairs, lambda x: x.isNotNull() & ~x.endswith("\x01"))))
     )
-    loose = F.when(F.col("__doc") == "null", "").when(F.col("__doc").startswith("["), _listed(F.col("__doc"))).otherwise(_plain(F.col("__doc")))
-    text = F.when(F.col("__fields").isNotNull(), F.array_join("__pairs", "\x02")).otherwise(F.coalesce(loose, F.lit("")))
-    return stepped.withColumn(out, text).drop("__doc", "__fields", "__pairs")
+    text = F.when(F.col("__deep").isNotNull(), F.col("__deep")).when(F.col("__fields").isNotNull(), F.array_join("__pairs", "\x02"))
+    return stepped.withColumn(out, F.coalesce(text, F.when(doc == "null", ""), _value(doc), F.lit(""))).drop("__doc", "__deep", "__fields", "__pairs")
 
 
 def collapse_runs(

@@ -3,6 +3,8 @@ import random
 from itertools import groupby
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logloom.llm import runs, topn
@@ -24,6 +26,10 @@ def calls(spark, rows):
         ('{"a": 1, "b": "X-1"}', '{ "b":"x 1", "a":1.0 }', True), ('{"a": "36.480"}', '{"a": 36.48}', True), ('{"a": 1e2}', '{"a": 100}', True), ('{"a": "#W1."}', '{"a": "w1"}', True),
         ('{"a": "x", "n": null, "m": "", "l": []}', '{"a": "x"}', True), (json.dumps('{"a": "x"}'), '{"a": "x"}', True), (None, "", True), ("null", "{}", True), ('{"a": ["1", "2"]}', '{"a": [1, 2.0]}', True),
         ('{"a": ["1", "2"]}', '{"a": ["2", "1"]}', False), ('{"a": ["12"]}', '{"a": ["1", "2"]}', False), ('{"a": "07755"}', '{"a": "07155"}', False), ('{"a": 1}', '{"b": 1}', False), ('{"a": "Röm"}', '{"a": "rom"}', False), ("not json", "NOT-JSON!", True),
+        ('{"a": 1e-13}', '{"a": 2e-13}', False), ('{"a": 1e-13}', '{"a": 0}', False), ('{"a": -0.0}', '{"a": 0}', True), ('{"a": 123456789012345678901234567890.10}', '{"a": 1.234567890123456789012345678901e29}', True), ('{"a": 123456789012345678901234567890}', '{"a": 123456789012345678901234567891}', False),
+        ('{"a": {"x": 1, "y": 1.5}}', '{"a": {"y": "1.50", "x": 1, "z": null}}', True), ('{"a": [{"x": 1.0}]}', '{"a": [{"x": 10}]}', False), ('{"a": [{"x": 1.0}]}', '{"a": [{"x": 1, "y": []}]}', True), ('{"a": [[1], 2]}', '{"a": [1, [2]]}', False),
+        ('{"a": {"b": {"c": ""}}, "d": 1}', '{"d": 1.0}', True), ('{"a": "{\\"b\\": 1}"}', '{"a": {"b": 1.0}}', True), ('{"a": "{ b"}', '{"a": "B"}', True), ('{"a": "[see it] x"}', '{"a": "see it x"}', True), ('{"a": "1 e 2"}', '{"a": 100}', False), ("1.0", "1", True), ('{"a": 1, "b": {', '{"a": 1}', False),
+        ('{"\\ud800": {"a": 1}}', '{"\\ud801": {"a": 2}}', False),
     ],
 )
 def test_arguments_as_data(spark, a, b, same):
@@ -32,6 +38,17 @@ def test_arguments_as_data(spark, a, b, same):
     assert x is not None and y is not None and (x == y) is same
 
 
+SCALARS = st.sampled_from([None, True, "", " ", "a-B", "É1", "007", "1e2", "x,y", 0, 5, -3.50, 1e-7, "+4", "[a] b", "-"])
+
+
+@settings(max_examples=1, deadline=None)
+@given(st.lists(st.dictionaries(st.sampled_from("abc"), SCALARS | st.lists(SCALARS, max_size=3), max_size=3), min_size=300, max_size=300))
+def test_flat_arguments_have_one_normal_form_either_way(spark, docs):
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, arguments string")
+    got = {r.i: r.s for r in runs.with_same_arguments(df, "arguments", "s").collect()}
+    assert {i: runs.normal_text(d).strip("{}") for i, d in enumerate(json.loads(json.dumps(docs), parse_float=runs._Raw, parse_int=runs._Raw))} == got
+
+
 def test_runs_match_brute_force_over_block_cuts(spark):
     rng = random.Random(2)
     rows = []
