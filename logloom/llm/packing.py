@@ -1,12 +1,16 @@
 """Filling containers of fixed capacity with texts of varying length.
 
-Texts are dealt by hash into blocks of about ``BLOCK_TOKENS`` tokens, each
-packed by itself, so no task sees the whole corpus and only the last container
-of a block is badly filled.  In a block, texts are taken longest first.  A text
-costs its length plus the square of its length (linear layers and attention);
-it goes into the container with the least cost so far that still has room.  The
-block starts with as many containers as its tokens need at least; a new one is
-opened only where no other has room.
+Texts are dealt by hash of key and length into blocks of about ``BLOCK_TOKENS``
+tokens, each packed by itself, so no task sees the whole corpus, only the last
+container of a block is badly filled, and file order changes nothing.  In a
+block, texts are taken longest first.  A text costs its length plus the square
+of its length (linear layers and attention); it goes into the container with
+the least cost so far that still has room, and a new one is opened only where
+no other has room.  The more containers are open from the start, the better
+their costs are balanced, but the more gaps are left that nothing fits.  So a
+block is packed from each of ``STARTS`` (shares of the containers that its
+tokens need at least), and of the results with the fewest containers the one
+with the most even costs counts.
 """
 
 from __future__ import annotations
@@ -15,14 +19,15 @@ import heapq
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logloom.session import materialize
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS, CHUNK = 1_000_000, 4096
+#: Shares of the least number of containers that are open from the start.
+STARTS = (0.0, 0.5, 0.75, 0.9, 1.0)
 #: Cost of n tokens: LINEAR x n + QUADRATIC x n^2.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 
@@ -54,7 +59,18 @@ def pack_block(sizes: list[int], capacity: int, start: int | None = None) -> lis
     return out
 
 
-_PACKED = T.StructType([T.StructField("row", T.LongType()), T.StructField("container_id", T.StringType())])
+def spread(sizes: list[int], to: list[int]) -> float:
+    """The standard deviation of the containers' costs over their mean."""
+    n = np.asarray(sizes, float)
+    cost = np.bincount(to, weights=LINEAR * n + QUADRATIC * n * n)
+    return float(cost.std() / cost.mean()) if cost.sum() else 0.0
+
+
+def best_block(sizes: list[int], capacity: int) -> list[int]:
+    """``pack_block`` from the start that needs the fewest containers; among equals the one with the most even costs."""
+    needed = math.ceil(sum(sizes) / capacity)
+    tried = [pack_block(sizes, capacity, start) for start in sorted({int(needed * s) for s in STARTS})]
+    return min(tried, key=lambda to: (len(set(to)), spread(sizes, to)))
 
 
 def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
@@ -70,22 +86,26 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     n = F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("long"), F.lit(0))
-    rows = materialize(sizes.select(F.col(key).alias("key"), n.alias("n")).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    # Rows with equal key and size are counted and told apart by number, in chunks, so that a key with very many is spread.
+    counted = sizes.groupBy(F.col(key).alias("key"), n.alias("n")).agg(F.count("*").alias("k"))
+    chunks = counted.select("key", "n", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / CHUNK))).alias("c")).repartition("key", "n", "c")
+    numbered = F.sequence(F.col("c") * CHUNK, F.least(F.col("c") * CHUNK + CHUNK, F.col("k")) - 1)
+    rows = materialize(chunks.select("key", "n", F.explode(numbered).alias("copy")), "sizes")
     total = rows.agg(F.coalesce(F.sum(F.col("n") % capacity), F.lit(0)), F.count("*")).first()
     blocks = max(1, math.ceil(total[0] / BLOCK_TOKENS), math.ceil(total[1] / BLOCK_TOKENS * 8))
     whole = F.floor(F.col("n") / capacity)
     exact = (F.col("n") > 0) & (F.col("n") % capacity == 0)
-    cut = rows.filter(F.col("n") >= capacity).select("key", "row", F.explode(F.sequence(F.lit(0), (whole - 1).cast("int"))).alias("part")).select(
-        "key", F.col("part").cast("int").alias("part"), (F.col("part") * F.lit(capacity)).cast("long").alias("start"), F.lit(capacity).cast("long").alias("n_tokens"), F.format_string("r%d.%d", "row", "part").alias("container_id")
+    cut = rows.filter(F.col("n") >= capacity).select("key", "n", "copy", F.explode(F.sequence(F.lit(0), (whole - 1).cast("int"))).alias("part")).select(
+        "key", F.col("part").cast("int").alias("part"), (F.col("part") * F.lit(capacity)).cast("long").alias("start"), F.lit(capacity).cast("long").alias("n_tokens"), F.to_json(F.struct("key", "n", "copy", "part")).alias("container_id")
     )
-    rest = rows.filter(~exact).select("key", "row", whole.cast("int").alias("part"), (whole * capacity).cast("long").alias("start"), (F.col("n") % capacity).cast("long").alias("n_tokens"))
-    dealt = rest.select("row", "n_tokens", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
+    rest = rows.filter(~exact).select("key", whole.cast("int").alias("part"), (whole * capacity).cast("long").alias("start"), (F.col("n") % capacity).cast("long").alias("n_tokens"), F.xxhash64("key", "n", "copy").alias("h"))
+    dealt = rest.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
 
-    def one_block(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n_tokens", "row"], ascending=[False, True])
-        to = pack_block(part["n_tokens"].tolist(), capacity, 0)
-        return pd.DataFrame({"row": part["row"], "container_id": [f"b{part['block'].iat[0]}.{i}" for i in to]})
+    def one_block(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("n_tokens", "descending"), ("h", "ascending")])
+        block = part.column("block")[0].as_py()
+        to = best_block(part.column("n_tokens").to_pylist(), capacity)
+        return part.select(["key", "part", "start", "n_tokens"]).append_column("container_id", pa.array([f"b{block}.{i}" for i in to], pa.string()))
 
-    placed = dealt.groupBy("block").applyInPandas(one_block, _PACKED)
-    packed = rest.join(placed, "row").select("key", "part", "start", "n_tokens", "container_id")
+    packed = dealt.groupBy("block").applyInArrow(one_block, cut.schema)
     return packed.unionByName(cut).withColumnRenamed("key", key)

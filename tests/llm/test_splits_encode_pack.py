@@ -110,6 +110,8 @@ def test_another_vocabulary(name):
 def test_a_block_never_overfills(sizes):
     sizes = sorted(sizes, reverse=True)
     to = packing.pack_block(sizes, 64, 0)
+    best = packing.best_block(sizes, 64)
+    assert len(set(best)) <= len(set(to)) and all(sum(n for n, c in zip(sizes, best, strict=True) if c == k) <= 64 for k in set(best))
     fill = {}
     for n, c in zip(sizes, to, strict=True):
         fill[c] = fill.get(c, 0) + n
@@ -131,3 +133,5 @@ def test_packing_covers_everything(spark, monkeypatch):
     assert all(len(per[k]) == 1 for k, n in rows if k not in (5, 902) and (n or 0) <= 100)
     assert sum(fill.values()) / (100 * len(fill)) > 0.97
     assert packing.pack(df.limit(0), "k", "n", 100).count() == 0
+    again = packing.pack(df.orderBy(F.rand(1)).repartition(5), "k", "n", 100).collect()
+    assert sorted(again, key=str) == sorted(got, key=str)
