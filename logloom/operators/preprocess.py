@@ -3,7 +3,8 @@
 Rendering is an expression over the message array; the places of assistant
 text follow from the lengths of what stands before, so nothing is searched for
 in the rendered text.  Tokenizers plug in as a function that gives ids and
-character offsets; a pattern of words and white space stands in for tests.
+character offsets; ``functions.tokens`` has a public one, and a pattern of words
+and white space stands in for unit tests.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.tokens import offset_tokenizer, tokenizer_path
 from logloom.operators.datasets import IGNORED
 
 # Fixed values of the chat format.
@@ -108,6 +110,38 @@ def label(df: DataFrame, key: str, tokenize: Tokenizer = pattern_tokenizer) -> D
     return df.select(key, "rendered", "spans").mapInArrow(run, f"{key} {kind}, {_LABELLED}")
 
 
+def round_trip(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
+    """``key, tokens, difference, reencodes``: whether a text comes back from its tokens.
+
+    ``difference`` is the first character in which the decoded text differs
+    (null if none), ``reencodes`` whether the decoded text gives the same ids.
+    Null counts as an empty text; it has no tokens.
+    """
+    path = path or tokenizer_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = offset_tokenizer(path)
+        for batch in batches:
+            out: dict[str, list] = {"tokens": [], "difference": [], "reencodes": []}
+            for text in batch.column(1).to_pylist():
+                ids = own.own.encode_ordinary(text or "")
+                back = own.decode(ids)
+                same = back == (text or "")
+                out["tokens"].append(len(ids))
+                out["difference"].append(None if same else next((i for i, (a, b) in enumerate(zip(text or "", back, strict=False)) if a != b), min(len(text or ""), len(back))))
+                out["reencodes"].append(own.own.encode_ordinary(back) == ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out["tokens"], pa.int64()), pa.array(out["difference"], pa.int64()), pa.array(out["reencodes"], pa.bool_())], names=["key", *out])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {kind}, tokens long, difference long, reencodes boolean").withColumnRenamed("key", key)
+
+
+def span_texts(df: DataFrame, key: str) -> DataFrame:
+    """One row an assistant span of rows with ``rendered`` and ``spans``: place, kind and the text that is trained on."""
+    rows = df.select(key, "rendered", F.explode("spans").alias("s"))
+    return rows.select(key, F.col("s.ordinal").alias("ordinal"), F.col("s.kind").alias("kind"), F.substr("rendered", F.col("s.content_start") + 1, F.col("s.target_end") - F.col("s.content_start")).alias("target"))
+
+
 def token_rows(labelled: DataFrame, key: str) -> DataFrame:
     """One row a token: place, id, label and whether it counts."""
     zipped = F.posexplode(F.arrays_zip("input_ids", "labels", "starts", "ends")).alias("place", "t")

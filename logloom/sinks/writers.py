@@ -4,24 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators.datasets import flat_array_errors, offsets
-from logloom.sources.readers import InputError
+from logloom.operators.datasets import flat_array_errors, offsets, supervised
+from logloom.sources import files
+from logloom.sources.readers import InputError, file_records
 
 
 def write_json(path: str, value: Any) -> None:
     """One small document, readable, with a newline at its end."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+    files.write_text(path, json.dumps(value, ensure_ascii=False, indent=2) + "\n")
 
 
 def write_jsonl(df: DataFrame, path: str, order: Sequence[str] | None = None) -> None:
@@ -44,34 +42,50 @@ def write_union_csv(frames: Sequence[DataFrame], path: str) -> None:
 
 def publish(path: str, write: Callable[[str], None], check: Callable[[str], None] | None = None) -> None:
     """Write beside ``path``, check, then rename; an existing output is never touched, a failed one leaves nothing."""
-    if os.path.exists(path):
+    if files.exists(path):
         raise FileExistsError(path)
-    staging = f"{path}.staging-{os.getpid()}"
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex[:12]}"
     try:
         write(staging)
         if check:
             check(staging)
-        os.replace(staging, path)
+        files.rename(staging, path)
     except BaseException:
-        shutil.rmtree(staging, ignore_errors=True)
+        files.remove(staging)
         raise
 
 
-def write_flat_arrays(df: DataFrame, path: str, order: str, expected: Mapping[str, int] | None = None) -> dict[str, int]:
-    """The flat store: ids and labels by place with offsets, as Parquet sorted by place.
+# Fixed values of the store's manifest.
+STORE_NAME, STORE_VERSION = "flat_sft_arrays", 1
 
-    ``expected`` (rows, tokens) is the scan's contract; if the data differ, or
-    a row breaks the store's rules, nothing is published.
+
+def write_flat_arrays(df: DataFrame, path: str, order: str, expected: Mapping[str, int] | None = None, keep: Sequence[str] = (), source: Mapping[str, Any] | None = None) -> dict[str, int]:
+    """The flat store: ``arrays`` with ids and labels by place, ``metadata`` with offsets and the columns ``keep``, ``stats.json`` and ``manifest.json``.
+
+    ``order`` is the place, from 0.  ``expected`` (rows, tokens) is the scan's
+    contract; if the data differ, or a row breaks the store's rules, nothing is
+    published.  The manifest has counts, ``source`` and the SHA-256 of every
+    data file; it is written last.
     """
-    sized = df.select(order, "input_ids", "labels", F.size("input_ids").alias("token_count"))
-    placed = offsets(sized, order, "token_count")
-    counts = sized.agg(F.count("*").alias("rows"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens")).first().asDict()
+    sized = df.select(order, *keep, "input_ids", "labels", F.size("input_ids").cast("long").alias("token_count"), supervised(F.col("labels")).cast("long").alias("supervised_tokens"))
+    placed = offsets(sized, order, "token_count").withColumnRenamed(order, "idx")
+    totals = sized.agg(F.count("*").alias("rows"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("supervised_tokens"), F.lit(0)).alias("supervised_tokens"), F.min("token_count").alias("least"), F.max("token_count").alias("most")).first().asDict()
+    counts = {k: totals[k] for k in ("rows", "tokens")}
     if expected and dict(expected) != counts:
         raise InputError(f"scan said {dict(expected)}, data have {counts}")
-    bad = flat_array_errors(placed, order, "input_ids", "labels", "offset_start", "offset_end").limit(1).collect()
+    bad = flat_array_errors(placed, "idx", "input_ids", "labels", "offset_start", "offset_end").limit(1).collect()
     if bad:
         raise InputError(f"row {bad[0][0]}: {bad[0].errors[0]}")
-    publish(path, lambda p: placed.withColumnRenamed(order, "idx").repartitionByRange("idx").sortWithinPartitions("idx").write.parquet(p))
+
+    def write(at: str) -> None:
+        ranged = placed.repartitionByRange("idx").sortWithinPartitions("idx")
+        ranged.select("idx", "input_ids", "labels", "offset_start", "offset_end").write.parquet(f"{at}/arrays")
+        files.write_text(f"{at}/stats.json", json.dumps(totals, indent=2) + "\n")
+        ranged.select("idx", *keep, "offset_start", "offset_end", "token_count", "supervised_tokens").write.parquet(f"{at}/metadata")
+        sums = {r.path.rsplit(at.rsplit("/", 1)[1] + "/", 1)[1]: r.sha256 for r in file_records(df.sparkSession, [f"{at}/arrays", f"{at}/metadata"]).select("path", "sha256").collect()}  # a row a file
+        write_json(f"{at}/manifest.json", {"format_name": STORE_NAME, "format_version": STORE_VERSION, "counts": {"trajectories": totals["rows"], "tokens": totals["tokens"]}, "files": sums, **(source or {})})
+
+    publish(path, write)
     return counts
 
 
@@ -125,6 +139,6 @@ def fingerprint(value: Any) -> str:
 
 def ensure_manifest(path: str, manifest: Any) -> None:
     """Write the manifest, or refuse to mix runs if another one is there."""
-    if os.path.exists(path) and fingerprint(json.loads(Path(path).read_text(encoding="utf-8"))) != fingerprint(manifest):
+    if files.exists(path) and fingerprint(files.read_json(path)) != fingerprint(manifest):
         raise InputError(f"{path} belongs to a run with other settings")
     write_json(path, manifest)

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import dataclasses
-import glob
 import hashlib
-import os
 import subprocess
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.curation import TIERS
+from logloom.operators.datasets import flat_array_errors, supervised
+from logloom.sources import files
 
 _CALL = "struct<id:string,name:string,arguments:string>"
 MESSAGE = f"struct<role:string,content:string,turn_idx:int,id:string,tool_call_id:string,error:boolean,tool_calls:array<{_CALL}>,usage:struct<prompt_tokens:bigint,completion_tokens:bigint>>"
@@ -35,9 +35,9 @@ class InputError(ValueError):
 def existing(paths: Sequence[str] | str, default_glob: str = "*.json") -> list[str]:
     """The files meant: given ones (all must exist) or, for a folder, those that match, sorted."""
     if isinstance(paths, str):
-        found = sorted(glob.glob(os.path.join(paths, default_glob))) if os.path.isdir(paths) else sorted(glob.glob(paths))
+        found = files.matching(f"{paths.rstrip('/')}/{default_glob}" if files.is_folder(paths) else paths)
     else:
-        missing = [p for p in paths if not os.path.exists(p)]
+        missing = [p for p in paths if not files.exists(p)]
         if missing:
             raise FileNotFoundError(f"missing inputs: {', '.join(missing)}")
         found = list(paths)
@@ -59,7 +59,7 @@ def load_tiers(spark: SparkSession, tiers: Mapping[str, Mapping[str, Any]], fold
     sims: DataFrame | None = None
     tasks: DataFrame | None = None
     for place, (tier, conf) in enumerate(tiers.items()):
-        docs = run_documents(spark, [os.path.join(folder, conf["file"])])
+        docs = run_documents(spark, [f"{folder.rstrip('/')}/{conf['file']}"])
         one = docs.select(F.explode("simulations").alias("s"), F.lit(tier).alias("tier"), F.lit(float(conf["temperature"])).alias("temperature"), F.lit(conf["file"]).alias("source_run")).select("s.*", "tier", "temperature", "source_run", F.lit(TIERS.get(tier, len(TIERS))).alias("tier_order"))
         own = docs.select(F.posexplode("tasks").alias("n", "t")).select(F.struct(F.lit(place), "n").alias("at"), "t")
         sims = one if sims is None else sims.unionByName(one)
@@ -106,21 +106,17 @@ def require_clean(audit: DataFrame) -> None:
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, line, text, ok``: every line that isn't blank with its number (from 1) in its file.
 
-    A file is read whole by one task since lines are numbered in it; files run
-    side by side.  ``ok`` tells whether the line is JSON.
+    Files are read in blocks side by side, however large: lines are counted in
+    each block and a line's number is its place in the block behind the counts
+    of the file's blocks before it.  ``ok`` tells whether the line is JSON.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(frames: Iterator[Any]) -> Iterator[Any]:
-        import pandas as pd
-
-        for pdf in frames:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                lines = [(name, n, t) for n, t in enumerate(bytes(content).decode("utf-8", "replace").split("\n"), 1) if t.strip()]
-                yield pd.DataFrame(lines, columns=["file", "line", "text"])
-
-    rows = files.mapInPandas(run, "file string, line long, text string")
-    return rows.withColumn("ok", F.try_parse_json("text").isNotNull())
+    read = spark.read.option("lineSep", "\n").text(path)
+    lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    counted = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("k"))
+    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    starts = counted.select("file", "block", "first", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("before"))
+    placed = lines.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "text")
+    return placed.filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").withColumn("ok", F.try_parse_json("text").isNotNull())
 
 
 def require_json(lines: DataFrame) -> DataFrame:
@@ -147,29 +143,65 @@ def trajectory_logs(spark: SparkSession, folder: str, streaming: bool = False, k
 def completed_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids already present in a JSON lines sink; none if it doesn't exist yet."""
     schema = "trajectory_id string"
-    if not glob.glob(path):
+    if not files.matching(path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path).filter("trajectory_id IS NOT NULL").distinct()
 
 
+def store_errors(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
+    """``error``: what a finished flat store breaks; no row for a good one.
+
+    All its parts must be there; offsets must follow one another, labels be
+    ignored or equal their ids, metadata repeat the offsets, the manifest name
+    the format and the counts, and (with ``verify``) every file's SHA-256.
+    """
+    missing = [n for n in ("arrays", "metadata", "stats.json", "manifest.json") if not files.exists(f"{path}/{n}")]
+    if missing:
+        return spark.createDataFrame([(f"missing: {', '.join(missing)}",)], "error string")
+    arrays, meta, manifest = spark.read.parquet(f"{path}/arrays"), spark.read.parquet(f"{path}/metadata"), files.read_json(f"{path}/manifest.json")
+    lack = {"idx", "input_ids", "labels", "offset_start", "offset_end"} - set(arrays.columns)
+    if lack:
+        return spark.createDataFrame([(f"columns missing: {', '.join(sorted(lack))}",)], "error string")
+    told = [] if (manifest.get("format_name"), manifest.get("format_version")) == ("flat_sft_arrays", 1) else ["unknown format"]
+    sums = arrays.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("input_ids")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(supervised(F.col("labels"))), F.lit(0)).alias("own")).first()
+    counts = manifest.get("counts", {})
+    told += [e for bad, e in ((counts.get("trajectories") != sums.n, "trajectory count differs from the manifest"), (counts.get("tokens") != sums.tokens, "token count differs from the manifest"), (sums.own == 0, "no supervised tokens")) if bad]
+    if verify:
+        held = {r.path: r.sha256 for r in file_records(spark, [f"{path}/arrays", f"{path}/metadata"]).select("path", "sha256").collect()}  # a row a file
+        for name, wanted in sorted(manifest.get("files", {}).items()):
+            have = next((v for k, v in held.items() if k.endswith(f"/{name}")), None)
+            told += ["file missing: " + name] if have is None else ["SHA-256 differs: " + name] if have != wanted else []
+    chained = arrays.select("idx", "offset_start", "offset_end", F.size("input_ids").alias("size"), F.lit(1).alias("here"))
+    before = chained.select((F.col("idx") + 1).alias("idx"), F.col("offset_end").alias("expected"))
+    gaps = chained.join(before, "idx", "left").filter(F.col("offset_start") != F.coalesce("expected", F.lit(0))).select(F.concat(F.lit("offset gap at row "), F.col("idx").cast("string")).alias("error"))
+    rows = flat_array_errors(arrays, "idx", "input_ids", "labels", "offset_start", "offset_end").select(F.concat(F.lit("row "), F.col("idx").cast("string"), F.lit(": "), F.element_at("errors", 1)).alias("error"))
+    own = meta.select("idx", F.col("offset_start").alias("s"), F.col("offset_end").alias("e"), "token_count", F.lit(1).alias("there"))
+    agree = (F.col("s") == F.col("offset_start")) & (F.col("e") == F.col("offset_end")) & (F.col("token_count") == F.col("size"))
+    differ = chained.join(own, "idx", "full").filter(~F.coalesce(agree, F.lit(False))).select(F.concat(F.lit("metadata differ at row "), F.col("idx").cast("string")).alias("error"))
+    return spark.createDataFrame([(e,) for e in told], "error string").unionByName(gaps).unionByName(rows).unionByName(differ)
+
+
 class TokenDataset:
-    """The flat token store: rows of ``idx, input_ids, labels``; lazy, pruned, with lookup by place."""
+    """The flat token store: rows of ``idx, input_ids, labels``; lazy, pruned, with lookup by place.
+
+    Only its manifest is read at first: it has the number of rows.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.rows = spark.read.parquet(path)
+        self.manifest = files.read_json(f"{path}/manifest.json")
+        self.rows = spark.read.parquet(f"{path}/arrays")
         need = {"idx", "input_ids", "labels"}
         if not need <= set(self.rows.columns):
             raise InputError(f"columns missing: {sorted(need - set(self.rows.columns))}")
 
     def __len__(self) -> int:
-        return self.rows.count()
+        return int(self.manifest["counts"]["trajectories"])
 
     def __getitem__(self, i: int) -> Any:
         if isinstance(i, bool) or not isinstance(i, int):
             raise TypeError("index must be an integer")
-        n = len(self)
-        at = i + n if i < 0 else i
-        if not 0 <= at < n:
+        at = i + len(self) if i < 0 else i
+        if not 0 <= at < len(self):
             raise IndexError(i)
         return self.rows.filter(F.col("idx") == at).first()
 
@@ -177,6 +209,11 @@ class TokenDataset:
         r = self.rows.agg(F.min(F.array_min("input_ids")), F.max(F.array_max("input_ids"))).first()
         return r[0], r[1]
 
+    def summary(self) -> dict[str, int]:
+        """Rows, tokens, supervised tokens and the range of ids, in one pass."""
+        ids = self.rows.agg(F.count("*").alias("rows"), F.sum(F.size("input_ids")).alias("tokens"), F.sum(supervised(F.col("labels"))).alias("supervised_tokens"), F.min(F.array_min("input_ids")).alias("least_id"), F.max(F.array_max("input_ids")).alias("most_id"))
+        return ids.first().asDict()
+
 
 def strict_config(kind: type, values: Mapping[str, Any]) -> Any:
     """A dataclass from a mapping with exactly its fields (those with a default may be missing)."""
@@ -203,7 +240,7 @@ def expand_environment(value: Any, environ: Mapping[str, str]) -> Any:
     return [expand_environment(v, environ) for v in value] if isinstance(value, list) else value
 
 
-def file_records(spark: SparkSession, path: str) -> DataFrame:
+def file_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``path, length, sha256`` of files, hashed where they lie."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 

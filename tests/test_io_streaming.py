@@ -40,7 +40,7 @@ def test_json_lines_name_the_bad_line(spark, tmp_path):
         readers.require_json(readers.json_lines(spark, str(tmp_path / "none.jsonl")))
 
 
-def test_config_paths_and_manifest(tmp_path):
+def test_config_paths_and_manifest(spark, tmp_path):
     from dataclasses import dataclass
 
     @dataclass
