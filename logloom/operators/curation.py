@@ -140,6 +140,25 @@ def conversation_errors(messages: Column) -> Column:
     )
 
 
+def loose_error(messages: Column) -> Column:
+    """The first thing that the looser check of a conversation minds; null for none: roles and turns in order, then pairs, then no assistant."""
+    blank = lambda m: F.trim(F.coalesce(m["content"], F.lit(""))) == ""
+    of = lambda m: F.when(~F.coalesce(m["role"].isin("system", "user", "assistant", "tool"), F.lit(False)), "unsupported role").when((m["role"] == "assistant") & (blank(m) == (F.size(_calls(m)) == 0)), "neither or both of text and calls")
+    turn = F.get(F.filter(F.transform(messages, of), lambda e: e.isNotNull()), F.lit(0))
+    own = F.filter(messages, lambda m: m["role"] == "assistant")
+    ids = F.array_sort(F.flatten(F.transform(own, lambda m: F.transform(_calls(m), lambda c: c["id"]))))
+    answers = F.array_sort(F.transform(F.filter(messages, lambda m: m["role"] == "tool"), lambda m: m["tool_call_id"]))
+    return F.coalesce(turn, F.when(~ids.eqNullSafe(answers), "calls and results don't pair"), F.when(F.size(own) == 0, "no assistant"))
+
+
+def turn_error(m: Column, requestor: Column | None = None) -> Column:
+    """Why a session refuses a message: an assistant or user turn has either text or calls, assistants call for themselves, users call nothing."""
+    text, call = _has_text(m), F.size(_calls(m)) > 0
+    for_others = (requestor != "assistant") if requestor is not None else F.lit(False)
+    own = F.when(~text & ~call, "empty").when(text & call, "text and calls")
+    return F.when(m["role"] == "assistant", own.when(call & for_others, "calls for another")).when(m["role"] == "user", own.when(call, "users call nothing"))
+
+
 def recoveries(df: DataFrame, key: str) -> DataFrame:
     """One row for each failed call and what came next.
 

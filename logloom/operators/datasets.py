@@ -62,6 +62,17 @@ def pad(ids: Column, labels: Column, width: Column, pad_id: int) -> tuple[Column
     return F.concat(ids, F.array_repeat(F.lit(pad_id), more)), F.concat(labels, F.array_repeat(F.lit(IGNORED), more)), F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), more))
 
 
+def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
+    """Adds ``out``: each row's place in ``order`` (unique), from 0."""
+    return group_positions(df, None, [F.col(order).asc()], "__place").withColumn(out, F.col("__place") - 1).drop("__place")
+
+
+def padded_batches(df: DataFrame, batch: str, tokens: str, to: int) -> DataFrame:
+    """Each batch's rows, tokens, width (its longest row, rounded up to ``to``) and padding."""
+    per = df.groupBy(batch).agg(F.count("*").alias("rows"), F.sum(tokens).cast("long").alias("tokens"), round_up(F.max(tokens), to).cast("long").alias("width"))
+    return per.withColumn("padding", F.col("rows") * F.col("width") - F.col("tokens"))
+
+
 def supervised(labels: Column, shifted: bool = False) -> Column:
     """How many labels count (from the second on, if ``shifted``)."""
     used = F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(0))) if shifted else labels

@@ -8,6 +8,7 @@ leaves.  Values are compared in a normal form: numbers by value, texts as they a
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from decimal import Decimal
 from typing import Any
@@ -28,7 +29,7 @@ RELEVANT = [
     ("authenticated_user", "user", 0), ("user_known", "user", 0), ("order_known", "order", 0), ("order_status", "order", 0), ("order_user", "order", 0), ("user_order", "order", 1),
     ("user_payment_method", "payment", 1), ("payment_source", "payment", 0), ("payment_balance", "payment", 0), ("order_payment_method", "payment", 1),
     ("order_item", "order_item", 1), ("order_item_product", "order_item", 1), ("order_item_price", "order_item", 1), ("order_item_option", "order_item", 1),
-    ("product_known", "product", 0), ("product_name", "product", 0), ("product_variant_count", "product", 0), ("item_known", "item", 0), ("item_available", "item", 0), ("item_price", "item", 0), ("item_option", "item", 0), ("product_item", "item", 1),
+    ("product_known", "product", 0), ("product_name", "product", 0), ("product_variant_count", "product", 0), ("item_known", "item", 0), ("item_available", "item", 0), ("item_price", "item", 0), ("item_option", "item", 0),
 ]
 BEFORE_WRITES = {"authenticated_user", "order_known", "order_status", "order_user", "order_item", "order_item_product", "order_item_price", "order_item_option", "order_payment_method", "item_known", "item_available", "item_price", "item_option"}
 #: Which argument names what.
@@ -90,36 +91,136 @@ def product_facts(doc: Column) -> Column:
     return F.concat(F.array(_fact("product_known", [p])), _if(doc["name"].isNotNull(), _fact("product_name", [p], doc["name"])), F.array(_fact("product_variant_count", [p], F.greatest(size, F.lit(0)).cast("string"))), each)
 
 
-def observed_facts(df: DataFrame, key: str, tool: str, result: str) -> DataFrame:
+def observed_facts(df: DataFrame, key: str, tool: str, result: str, arguments: str | None = None) -> DataFrame:
     """``key, kind, subject, value`` of what each tool result shows, each fact once a row.
 
     The tool's name tells the kind of document; a result that isn't of that
-    kind, or null, shows nothing.  What a lookup of a user returns is the user.
+    kind, or null, shows nothing.  What a lookup of a user returns is the user,
+    what a calculation returns belongs to its expression (in ``arguments``),
+    and a list of product types names the products.
     """
     t, r = F.col(tool), F.col(result)
+    said = F.coalesce(F.get_json_object(arguments, "$.expression"), F.lit("")) if arguments else F.lit("")
+    types = _each(F.map_entries(F.from_json(r, "map<string,string>")), lambda e: F.array(_fact("product_name", [e["value"]], e["key"]), _fact("product_known", [e["value"]])))
     found = (
-        F.when(t.isin("find_user_id_by_email", "find_user_id_by_name_zip") & r.isNotNull(), F.array(_fact("authenticated_user", [r])))
+        F.when(t.isin("find_user_id_by_email", "find_user_id_by_name_zip") & r.isNotNull(), F.array(_fact("authenticated_user", [r]))).when((t == "calculate") & r.isNotNull(), F.array(_fact("calculation_result", [said], r)))
         .when((t == "get_user_details") & r.startswith("{"), user_facts(F.from_json(r, USER))).when((t == "get_order_details") & r.startswith("{"), order_facts(F.from_json(r, ORDER)))
         .when((t == "get_product_details") & r.startswith("{"), product_facts(F.from_json(r, PRODUCT))).when((t == "get_item_details") & r.startswith("{"), _item_facts(F.from_json(r, ITEM), F.from_json(r, ITEM)["item_id"]))
+        .when((t == "list_all_product_types") & r.startswith("{"), types)
     )
     return df.select(key, F.explode(F.array_distinct(found)).alias("f")).select(key, "f.kind", "f.subject", "f.value")
 
 
-def references(actions: DataFrame, key: str, arguments: str) -> DataFrame:
-    """``key, ref_kind, id`` of everything that reference actions name; an argument is one id or a list of them."""
+def communicated_values(df: DataFrame, key: str, doc: str) -> DataFrame:
+    """``key, vtype, value``: all that a result tells, each once a key: keys and values of any depth, normalised, and the words of texts.
+
+    A text that spells a number or a truth value is one; others count without
+    case and outer white space.  Null tells nothing.
+    """
+
+    def normal(v: Any) -> tuple[str, str] | None:
+        if isinstance(v, str):
+            try:
+                decoded = json.loads(v)
+            except (ValueError, RecursionError):
+                decoded = v
+            v = decoded if isinstance(decoded, (int, float, bool)) else v.strip().casefold()
+        return None if v is None else _normal(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, kinds, values = [], [], []
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                if text is None:
+                    continue
+                try:
+                    stack = [json.loads(text)]
+                except (ValueError, RecursionError):
+                    stack = [text]
+                told: set[tuple[str, str]] = set()
+                while stack:
+                    v = stack.pop()
+                    if isinstance(v, dict):
+                        stack += [*v.keys(), *v.values()]
+                    elif isinstance(v, list):
+                        stack += v
+                    elif (found := normal(v)) is not None:
+                        told.add(found)
+                        if found[0] == "string":
+                            told.update(("string", w) for w in re.findall(r"[a-z0-9]+", found[1]))
+                at += [n] * len(told)
+                kinds += [k for k, _ in told]
+                values += [v for _, v in told]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["key", "vtype", "value"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), F.col(doc)).mapInArrow(run, f"key {kind}, vtype string, value string").withColumnRenamed("key", key).distinct()
+
+
+def expand_references(refs: DataFrame, key: str, orders: DataFrame, payments: DataFrame) -> DataFrame:
+    """``refs(key, ref_kind, id)`` with the users that named orders belong to and that hold named payment methods.
+
+    ``orders(order_id, user_id)`` and ``payments(user_id, payment_id)`` are the
+    database's; one hop, by equality joins.  Unknown ids add nothing.
+    """
+    owners = refs.filter("ref_kind = 'order'").join(orders.withColumnRenamed("order_id", "id"), "id").select(key, F.lit("user").alias("ref_kind"), F.col("user_id").alias("id"))
+    holders = refs.filter("ref_kind = 'payment'").join(payments.withColumnRenamed("payment_id", "id"), "id").select(key, F.lit("user").alias("ref_kind"), F.col("user_id").alias("id"))
+    return refs.select(key, "ref_kind", "id").unionByName(owners).unionByName(holders).filter("id IS NOT NULL").distinct()
+
+
+def variants(products: DataFrame, doc: str = "product") -> DataFrame:
+    """``item_id, product_id, variant``: the first product (by id) that has each item among its variants."""
+    rows = products.select(F.col(f"{doc}.product_id").alias("product_id"), F.explode(f"{doc}.variants").alias("item_id", "variant"))
+    return rows.groupBy("item_id").agg(F.min_by(F.struct("product_id", "variant"), "product_id").alias("p")).select("item_id", "p.product_id", "p.variant")
+
+
+def references(actions: DataFrame, key: str, arguments: str, name: str | None = None) -> DataFrame:
+    """``key, ref_kind, id`` of everything that reference actions name; an argument is one id or a list of them.
+
+    With the column ``name``, the ``item_id`` that a lookup of an item asks for counts too.
+    """
     pairs = F.map_entries(F.from_json(arguments, "map<string,string>"))
     kinds = F.create_map(*[F.lit(x) for kv in REFERENCES.items() for x in kv])
-    rows = actions.select(key, F.explode(pairs).alias("a")).select(key, kinds[F.col("a.key")].alias("ref_kind"), F.col("a.value").alias("v")).filter("ref_kind IS NOT NULL AND v IS NOT NULL")
+    looked_up = F.when((F.col("action") == "get_item_details") & (F.col("a.key") == "item_id"), "item")
+    rows = actions.select(key, (F.col(name) if name else F.lit(None).cast("string")).alias("action"), F.explode(pairs).alias("a")).select(key, F.coalesce(looked_up, kinds[F.col("a.key")]).alias("ref_kind"), F.col("a.value").alias("v")).filter("ref_kind IS NOT NULL AND v IS NOT NULL")
     ids = F.when(F.col("v").startswith("["), F.from_json("v", "array<string>")).otherwise(F.array("v"))
     return rows.select(key, "ref_kind", F.explode(ids).alias("id")).distinct()
 
 
 def relevant_facts(facts: DataFrame, refs: DataFrame, key: str, before_writes: bool = False) -> DataFrame:
-    """Facts about something that the same key's task refers to; with ``before_writes`` only what justifies a write."""
+    """Facts about something that the same key's task refers to; with ``before_writes`` only what justifies a write.
+
+    An item of a product counts if both are referred to, a calculation if the
+    task has anything to communicate (a reference of the kind ``communicate``).
+    """
     rules = [r for r in RELEVANT if not before_writes or r[0] in BEFORE_WRITES]
     where = F.create_map(*[F.lit(x) for kind, ref, at in rules for x in (kind, f"{ref}:{at}")])[F.col("kind")]
     marked = facts.withColumn("rule", where).filter("rule IS NOT NULL").withColumn("ref_kind", F.split_part("rule", F.lit(":"), F.lit(1))).withColumn("id", F.get("subject", F.split_part("rule", F.lit(":"), F.lit(2)).cast("int")))
-    return marked.join(refs, [key, "ref_kind", "id"], "left_semi").select(*facts.columns)
+    found = marked.join(refs, [key, "ref_kind", "id"], "left_semi").select(*facts.columns)
+    if before_writes:
+        return found
+    of = lambda kind: refs.filter(F.col("ref_kind") == kind).select(key, F.col("id").alias(kind))
+    paired = facts.filter("kind = 'product_item'").withColumns({"product": F.get("subject", F.lit(0)), "item": F.get("subject", F.lit(1))})
+    paired = paired.join(of("product"), [key, "product"], "left_semi").join(of("item"), [key, "item"], "left_semi").select(*facts.columns)
+    computed = facts.filter("kind = 'calculation_result'").join(of("communicate"), key, "left_semi").select(*facts.columns)
+    return found.unionByName(paired).unionByName(computed)
+
+
+def target_facts(gold: DataFrame, stored: DataFrame, refs: DataFrame, told: DataFrame, key: str) -> DataFrame:
+    """``key, kind, subject, value``: what a task wants found out.
+
+    Relevant facts of the gold reads (``gold``), what the database (``stored``)
+    holds that justifies a write, and the values to communicate (references of
+    the kind ``communicate``) that no such fact has, if they can be observed
+    (``told(key, value)``) or are all that the task wants.
+    """
+    kept = relevant_facts(gold, refs, key).unionByName(relevant_facts(stored, refs, key, before_writes=True)).select(key, "kind", "subject", "value").distinct()
+    wanted = refs.filter("ref_kind = 'communicate'").select(key, F.col("id").alias("value")).distinct()
+    missing = wanted.join(kept.select(key, "value"), [key, "value"], "left_anti")
+    seen = missing.join(told.select(key, "value"), [key, "value"], "left_semi")
+    only = missing.join(kept.select(key), key, "left_anti")
+    values = seen.unionByName(only).distinct().select(key, F.lit("communicate_value").alias("kind"), F.array().cast("array<string>").alias("subject"), "value")
+    return kept.unionByName(values)
 
 
 def _normal(v: Any) -> tuple[str, str]:

@@ -9,6 +9,7 @@ and white space stands in for unit tests.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.tokens import offset_tokenizer, tokenizer_path
+from logloom.functions.tokens import offset_tokenizer, public_tokenizer, tokenizer_path
 from logloom.operators.datasets import IGNORED
 
 # Fixed values of the chat format.
@@ -77,7 +78,7 @@ def rendering_errors(rendered: Column, spans: Column) -> Column:
 _LABELLED = "input_ids array<int>, labels array<int>, starts array<int>, ends array<int>, merged_spans int"
 
 
-def label(df: DataFrame, key: str, tokenize: Tokenizer = pattern_tokenizer) -> DataFrame:
+def label(df: DataFrame, key: str, tokenize: Tokenizer = public_tokenizer) -> DataFrame:
     """``key, input_ids, labels, starts, ends, merged_spans`` of rows with ``rendered`` and ``spans``.
 
     A token is supervised if it lies wholly in an assistant's target and isn't
@@ -136,12 +137,6 @@ def round_trip(df: DataFrame, key: str, text: str, path: str | None = None) -> D
     return df.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {kind}, tokens long, difference long, reencodes boolean").withColumnRenamed("key", key)
 
 
-def span_texts(df: DataFrame, key: str) -> DataFrame:
-    """One row an assistant span of rows with ``rendered`` and ``spans``: place, kind and the text that is trained on."""
-    rows = df.select(key, "rendered", F.explode("spans").alias("s"))
-    return rows.select(key, F.col("s.ordinal").alias("ordinal"), F.col("s.kind").alias("kind"), F.substr("rendered", F.col("s.content_start") + 1, F.col("s.target_end") - F.col("s.content_start")).alias("target"))
-
-
 def token_rows(labelled: DataFrame, key: str) -> DataFrame:
     """One row a token: place, id, label and whether it counts."""
     zipped = F.posexplode(F.arrays_zip("input_ids", "labels", "starts", "ends")).alias("place", "t")
@@ -149,6 +144,34 @@ def token_rows(labelled: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "place", F.col("t.input_ids").alias("input_id"), F.col("t.labels").alias("label"), F.when(F.col("t.labels") == IGNORED, "no").otherwise("yes").alias("loss"), F.col("t.starts").alias("start"), F.col("t.ends").alias("end"))
 
 
+def first_token_at(starts: Column, character: Column) -> Column:
+    """The place of the first token that begins at a character; null where none does."""
+    at = F.array_position(starts, character)
+    return F.when(at > 0, (at - 1).cast("long"))
+
+
+def span_audit(tokens: DataFrame, rendered: DataFrame, key: str) -> DataFrame:
+    """One row an assistant span: its supervised tokens ``[from:to)``, their characters' text and a header that says so.
+
+    ``masked_leading`` are characters of the target before its first supervised
+    token.  A span without supervised tokens has none of these.
+    """
+    own = tokens.filter(F.col("loss") == "yes").join(rendered.select(key, "spans"), key)
+    hit = F.get(F.filter("spans", lambda s: (F.col("start") >= s["content_start"]) & (F.col("start") < s["target_end"])), F.lit(0))
+    per = own.select(key, hit["ordinal"].alias("ordinal"), "place", "start", "end").groupBy(key, "ordinal").agg(F.min("place").alias("first"), (F.max("place") + 1).alias("last"), F.count("*").alias("supervised"), F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = rendered.select(key, "rendered", F.explode("spans").alias("s")).select(key, "rendered", "s.ordinal", "s.kind", "s.content_start")
+    joined = spans.join(per, [key, "ordinal"], "left").withColumn("masked_leading", F.col("start") - F.col("content_start"))
+    header = F.format_string("--- assistant %02d | %s | tokens [%d:%d) | count=%d | masked_leading_chars=%d ---", "ordinal", "kind", "first", "last", "supervised", "masked_leading")
+    return joined.select(key, "ordinal", "kind", "supervised", "masked_leading", header.alias("header"), F.substr("rendered", F.col("start") + 1, F.col("end") - F.col("start")).alias("target"))
+
+
+def template_sha256(template: str) -> str:
+    """The hash of a chat format; a blank one is an error."""
+    if not template.strip():
+        raise ValueError("the chat format is blank")
+    return hashlib.sha256(template.encode("utf-8")).hexdigest()
+
+
 def regions(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """Adds ``region``: external_context, assistant_header, assistant_<kind> or assistant_end.
 

@@ -64,8 +64,10 @@ def win_13_shuffled_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def win_14_count_windows(spark: SparkSession, d: str) -> DataFrame:
-    rows = docs(spark, d, "n_chars").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("tokens"), (F.pmod("doc_id", F.lit(17)) / 17.0).alias("loss"))
-    return ds.count_windows(rows, "doc_id", 64, "loss", "tokens")
+    """Windows of 64 evaluated trajectories: what a completion token took in seconds, weighted by tokens."""
+    rows = table(spark, d, "trajectory_features").groupBy("trajectory_id").agg(F.max("completion_tokens").alias("completion_tokens"), F.max("duration_seconds").alias("duration_seconds"))
+    ready = rows.select("trajectory_id", F.coalesce("completion_tokens", F.lit(0)).alias("tokens"), F.coalesce(ratio(F.col("duration_seconds"), F.col("completion_tokens")), F.lit(0.0)).alias("loss"))
+    return ds.count_windows(ready, "trajectory_id", 64, "loss", "tokens")
 
 
 def mth_03_round_up(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +76,7 @@ def mth_03_round_up(spark: SparkSession, d: str) -> DataFrame:
 
 def mth_04_padding(spark: SparkSession, d: str) -> DataFrame:
     """Code points as ids, padded to the next eight: sizes and sums of ids, labels and mask."""
-    ids = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != ""), lambda c: F.length(F.encode(c, "UTF-8")))
+    ids = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != ""), lambda c: F.ascii(c))
     rows = docs(spark, d, "text").select("doc_id", ids.alias("ids"))
     a, b, m = ds.pad(F.col("ids"), F.col("ids"), round_up(F.size("ids"), 8), 0)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x)
@@ -210,7 +212,12 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     rows = cr.new_progress(_turns(spark, d), "trajectory_id", ["message_index", "call_pos"], "potential")
-    return rows.join(_outcomes(spark, d), "trajectory_id").select("trajectory_id", "message_index", "call_pos", "tokens", "error", F.col("new_progress").alias("progress"), F.lit(0.0).alias("fact"), "outcome", "reward")
+    # What a message shows first is credited to its first call.
+    shown = win_05_fact_coverage(spark, d).groupBy("trajectory_id", "message_index").agg(F.sum("new_fact_progress").alias("shown"))
+    first = rows.groupBy("trajectory_id", "message_index").agg(F.min("call_pos").alias("call_pos"))
+    facts = first.join(shown, ["trajectory_id", "message_index"])
+    joined = rows.join(facts, ["trajectory_id", "message_index", "call_pos"], "left").join(_outcomes(spark, d), "trajectory_id")
+    return joined.select("trajectory_id", "message_index", "call_pos", "tokens", "error", F.col("new_progress").alias("progress"), F.coalesce("shown", F.lit(0.0)).alias("fact"), "outcome", "reward")
 
 
 def win_10_potential_advantage(spark: SparkSession, d: str) -> DataFrame:
@@ -280,11 +287,14 @@ _TURNS = f"""{_ONCE}, t as (select trajectory_id, message_index, call_pos, coale
   (sum(case when family = 'write' and not coalesce(error, false) then 1 else 0 end) over w * 0.25 - sum(case when coalesce(error, false) then 1 else 0 end) over w * 0.125)::double as potential
   from o window w as (partition by trajectory_id order by message_index, call_pos rows unbounded preceding)),
  p as (select *, greatest(potential - greatest(coalesce(max(potential) over (partition by trajectory_id order by message_index, call_pos rows between unbounded preceding and 1 preceding), 0), 0), 0) as new_progress from t)"""
-_SPANS = f"""{_TURNS}, f as (select distinct * from trajectory_features), b as (select model_label, task_id, avg(reward) m, coalesce(stddev_samp(reward), 0) s from f where task_id is not null and reward is not null group by 1, 2),
- a as (select trajectory_id, max(round((reward - m) / (s + 1e-6), 4)) as outcome, max(reward) as reward from f join b on f.model_label = b.model_label and f.task_id = b.task_id where reward is not null group by 1),
- sp as (select p.trajectory_id, message_index, call_pos, tokens, error, new_progress as progress, outcome, reward, sum(tokens) over (partition by p.trajectory_id) as all_tokens from p join a using (trajectory_id)),
- q as (select *, case when error then 0 else least(greatest(0.8 * progress * sqrt(least(all_tokens::double / tokens, 16)), 0), 1) end as q from sp)"""
 _FACTS = f"{_ONCE}, e as (select trajectory_id, task_id, message_index, family, coalesce(error, false) as error, unnest(json_keys(arguments)) as k, arguments from o where task_id is not null and json_valid(arguments) and json_type(arguments) = 'OBJECT'), fa as (select trajectory_id, task_id, message_index, family, error, k, json_extract_string(arguments, '$.\"' || k || '\"') as v from e)"
+_SHOWN = """h as (select *, k || '=' || v as fact from fa where v is not null and v <> ''), hg as (select distinct task_id, fact from h where family = 'write'), hn as (select task_id, count(*) total from hg group by 1),
+ hm as (select trajectory_id, h.task_id, h.fact, min(message_index) as message_index from h join hg on hg.task_id = h.task_id and hg.fact = h.fact where not error group by 1, 2, 3),
+ sh as (select trajectory_id, message_index, count(*) as new_facts, round(count(*)::double / max(total), 6) as new_fact_progress from hm join hn using (task_id) group by trajectory_id, message_index, task_id)"""
+_SPANS = f"""{_TURNS}, {_FACTS[len(_ONCE) + 2 :]}, {_SHOWN}, st as (select trajectory_id, message_index, sum(new_fact_progress) as shown from sh group by 1, 2), f as (select distinct * from trajectory_features), b as (select model_label, task_id, avg(reward) m, coalesce(stddev_samp(reward), 0) s from f where task_id is not null and reward is not null group by 1, 2),
+ a as (select trajectory_id, max(round((reward - m) / (s + 1e-6), 4)) as outcome, max(reward) as reward from f join b on f.model_label = b.model_label and f.task_id = b.task_id where reward is not null group by 1),
+ sp as (select p.trajectory_id, p.message_index, call_pos, tokens, error, new_progress as progress, case when call_pos = min(call_pos) over (partition by p.trajectory_id, p.message_index) then coalesce(st.shown, 0) else 0 end as fact, outcome, reward, sum(tokens) over (partition by p.trajectory_id) as all_tokens from p join a using (trajectory_id) left join st on st.trajectory_id = p.trajectory_id and st.message_index = p.message_index),
+ q as (select *, case when error then 0 else least(greatest((0.8 * progress + 0.2 * fact) * sqrt(least(all_tokens::double / tokens, 16)), 0), 1) end as q from sp)"""
 
 _LEAVES = f"""{_N}, lt as (select trajectory_id, '' as path, outcome.reward_breakdown::json as v from l where json_valid(outcome.reward_breakdown) and outcome.reward_breakdown <> ''
    union all select trajectory_id, case when path = '' then k else path || '.' || k end, json_extract(v, case when json_type(v) = 'ARRAY' then '$[' || k || ']' else '$."' || k || '"' end)
@@ -309,19 +319,19 @@ def oracle_sql() -> dict[str, str]:
         "win_08_shortest": f"with {_L} select doc_id, n_chars from l order by n_chars, doc_id limit 10",
         "win_13_length_batches": f"with {_L} select doc_id, n_chars, ((row_number() over (order by n_chars, doc_id) - 1) // 16)::bigint as batch_id from l",
         "agg_29_padding": f"with {_L}, b as (select n_chars, ((row_number() over (order by n_chars, doc_id) - 1) // 16)::bigint as batch_id from l), g as (select batch_id, count(*) as rows, (ceil(max(n_chars) / 8.0) * 8)::bigint as width, sum(n_chars)::bigint as real_tokens from b group by 1) select batch_id, rows, width, real_tokens, rows * width - real_tokens as padding_tokens, round(coalesce((rows * width - real_tokens)::double / nullif(rows * width, 0), 0), 6) as padding_fraction from g",
-        "win_14_count_windows": "with r as (select doc_id, coalesce(n_chars, 0) as tokens, (doc_id % 17) / 17.0::double as loss, (row_number() over (order by doc_id) - 1) // 64 as w from documents) select w::bigint as window, count(*) as micro_batches, sum(tokens)::bigint as tokens, round(coalesce(sum(loss * tokens) / nullif(sum(tokens), 0), 0), 6) as loss from r group by 1",
+        "win_14_count_windows": "with g as (select trajectory_id, max(completion_tokens) as c, max(duration_seconds) as t from trajectory_features group by 1), r as (select coalesce(c, 0) as tokens, coalesce(t / nullif(c, 0), 0) as loss, (row_number() over (order by trajectory_id) - 1) // 64 as w from g) select w::bigint as window, count(*) as micro_batches, sum(tokens)::bigint as tokens, round(coalesce(sum(loss * tokens) / nullif(sum(tokens), 0), 0), 6) as loss from r group by 1",
         "mth_03_round_up": f"with {_L} select doc_id, least((ceil(n_chars / 512.0) * 512)::bigint, 17408) as target_length from l",
-        "mth_04_padding": "select doc_id, (ceil(length(coalesce(text, '')) / 8.0) * 8)::integer as width, strlen(coalesce(text, '')) as ids, strlen(coalesce(text, '')) - 100 * ((ceil(length(coalesce(text, '')) / 8.0) * 8)::bigint - length(coalesce(text, ''))) as labels, length(coalesce(text, '')) as attended from documents",
+        "mth_04_padding": "with r as (select doc_id, list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> ''), lambda c: unicode(c)) as p from documents) select doc_id, (ceil(len(p) / 8.0) * 8)::integer as width, coalesce(list_sum(p), 0)::bigint as ids, coalesce(list_sum(p), 0)::bigint - 100 * ((ceil(len(p) / 8.0) * 8)::bigint - len(p)) as labels, len(p) as attended from r",
         "str_01_ngrams": f"with r as (select doc_id, {_W} as w from documents) select doc_id, len(w)::integer as words, len({_G})::integer as ngrams from r",
         "str_09_hashes": "select doc_id, sha256(text) as sha256 from documents",
         "str_10_slots": "with f as (select distinct * from trajectory_features) select trajectory_id, printf('step_%06d:sample_%06d:rollout_%06d', 1, task_id::integer, trial) as slot_id from f where task_id is not null",
         "str_11_sources": "select case when source like '%desk%' then 'Support' else string_split(source, '_')[-1] end as shown, count(*) as rows from documents group by 1",
         "set_06_jaccard_to_source": f"with r as (select doc_id, source, list_distinct({_W}) as w from documents where text is not null), b as (select source, arg_min(w, doc_id) as w0 from r group by 1) select doc_id, round(case when len(list_distinct(list_concat(w, w0))) = 0 then 1 else len(list_intersect(w, w0))::double / len(list_distinct(list_concat(w, w0))) end, 6) as similarity from r join b using (source)",
         "flt_07_argument_kinds": "select case when not json_valid(arguments) then 'no JSON' when json_type(arguments) = 'NULL' then 'null' when json_type(arguments) = 'OBJECT' then 'object' else 'other' end as kind, count(*) as calls from tool_calls group by 1",
-        "win_05_fact_coverage": f"with {_FACTS}, h as (select *, k || '=' || v as fact from fa where v is not null and v <> ''), g as (select distinct task_id, fact from h where family = 'write'), n as (select task_id, count(*) total from g group by 1), m as (select trajectory_id, h.task_id, h.fact, min(message_index) as message_index from h join g on g.task_id = h.task_id and g.fact = h.fact where not error group by 1, 2, 3) select trajectory_id, message_index, count(*) as new_facts, round(count(*)::double / max(total), 6) as new_fact_progress from m join n using (task_id) group by trajectory_id, message_index, task_id",
+        "win_05_fact_coverage": f"with {_FACTS}, {_SHOWN} select trajectory_id, message_index, new_facts, new_fact_progress from sh",
         "win_04_progress": f"with {_TURNS} select trajectory_id, message_index, call_pos, potential, new_progress from p",
         "agg_30_progress_summary": f"with {_TURNS} select trajectory_id, round(sum(new_progress), 6) as progress, count(*) filter (new_progress > 0) as progress_turns, count(*) filter (error) as error_turns, arg_max(potential, message_index * 1000 + call_pos) as final_potential, max(potential) as best_potential from p group by 1",
-        "win_10_potential_advantage": f"with {_SPANS} select trajectory_id, message_index, call_pos, round(case when error then -0.3 when progress > 0 then greatest(outcome, 0) + 0.4 * progress else outcome end, 4) as advantage from q",
+        "win_10_potential_advantage": f"with {_SPANS} select trajectory_id, message_index, call_pos, round(case when error then -0.3 when 0.4 * progress + 0.1 * fact > 0 then greatest(outcome, 0) + 0.4 * progress + 0.1 * fact else outcome end, 4) as advantage from q",
         "win_11_anchored_advantage": f"with {_SPANS}, z as (select *, sum(q * tokens) over (partition by trajectory_id) / all_tokens as mq from q) select trajectory_id, message_index, call_pos, round(q, 4) as q, round(case when reward > 0.5 and outcome > 0 then outcome * (1 + 0.4 * (q - mq)) else outcome end, 4) as advantage from z",
         "src_11_first_of_split": "select task_id from (select distinct task_id from tasks where extra_info.split = 'test') order by task_id::bigint limit 40",
         "src_12_task_rows": "select task_id, 'retail_sim' as data_source, printf('Work on retail task %s.', task_id) as prompt, max(tau2_seed) as tau2_seed from tasks where task_id is not null group by task_id",

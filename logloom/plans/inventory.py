@@ -122,7 +122,7 @@ def flt_22_limits(spark: SparkSession, d: str) -> DataFrame:
 
 def flt_24_id_range(spark: SparkSession, d: str) -> DataFrame:
     """Least and greatest character code of each kind's texts, as a token store checks its ids."""
-    codes = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.length(F.encode(c, "UTF-8")))
+    codes = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c))
     rows = table(spark, d, "documents").select("kind", codes.alias("c")).filter("size(c) > 0")
     return rows.groupBy("kind").agg(F.min(F.array_min("c")).cast("long").alias("least"), F.max(F.array_max("c")).cast("long").alias("most"))
 
@@ -186,8 +186,7 @@ def top_05_eligible(spark: SparkSession, d: str) -> DataFrame:
 
 def top_06_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The document at place 7 of the order by id."""
-    rows = ordering.group_positions(table(spark, d, "documents").select("doc_id", "kind"), None, [F.col("doc_id").asc()])
-    return rows.filter("position = 8").select("doc_id", "kind")
+    return table(spark, d, "documents").select("doc_id", "kind").orderBy("doc_id").offset(7).limit(1)
 
 
 def top_08_shuffled(spark: SparkSession, d: str) -> DataFrame:
@@ -327,7 +326,7 @@ def oracle_sql() -> dict[str, str]:
         "flt_14_alignment": f"with {_PICK}, a as (select task_id, trial, termination_reason t from p where model_label = 'sft'), b as (select task_id, trial, termination_reason t from p where model_label = 'vanilla'), j as (select coalesce(a.task_id, b.task_id) as task_id, coalesce(a.trial, b.trial) as trial, case when a.t is null then 'extra' when b.t is null then 'missing' when a.t <> b.t then 'ending differs' end as problem from a full join b on a.task_id = b.task_id and a.trial = b.trial) select * from j where problem is not null",
         "flt_19_max_length": "select kind, max(n_chars) as longest, (ceil(max(n_chars) / 512.0) * 512)::bigint as max_length from documents group by 1",
         "flt_22_limits": f"with {_N} select case when stats.tool_error_count > 3 then 'too_many_errors' when stats.message_count > 30 then 'max_steps' when outcome.duration_seconds > 90 then 'timeout' else 'none' end as stop, count(*) as sessions from l group by 1",
-        "flt_24_id_range": "with r as (select kind, list_transform(string_split(text, ''), lambda c: strlen(c)) as c from documents where text <> '') select kind, min(list_min(c)) as least, max(list_max(c)) as most from r group by 1",
+        "flt_24_id_range": "with r as (select kind, list_transform(string_split(text, ''), lambda c: unicode(c)) as c from documents where text <> '') select kind, min(list_min(c)) as least, max(list_max(c)) as most from r group by 1",
         "prj_06_training_rows": f"with {_TRAIN} select tr.trajectory_id, {_TN} as task_id, len(ms) + 1 as messages, '{{\"source_run\":\"' || coalesce(source_run, '') || '\",\"tier\":\"' || coalesce(tier, '') || '\"}}' as metadata from tr join l using (trajectory_id)",
         "jsn_11_references": f"with {_REFS} select distinct task_id, ref_kind, id from rf",
         "set_07_task_targets": f"with {_REFS}, {_RUNS}, gd as (select distinct trajectory_id, reward = 1 as good from f where reward is not null), j as (select rf.*, good from rf join gd using (trajectory_id)) select task_id, ref_kind, id from j where good except select task_id, ref_kind, id from j where not good",

@@ -10,47 +10,47 @@ from pyspark.sql import functions as F
 from logloom.operators import curation as cu
 from logloom.operators import datasets as ds
 from logloom.operators import preprocess as pp
-from logloom.plans.curation import GREETINGS, SYSTEM, newest
+from logloom.plans.curation import _TRAIN, GREETINGS, SYSTEM, newest
 from logloom.session import table
 from logloom.streaming import windows as st
 
 
-def _rendered(spark: SparkSession, d: str) -> DataFrame:
+def rendered(spark: SparkSession, d: str) -> DataFrame:
     return pp.render(cu.training_messages(newest(spark, d, "messages"), GREETINGS, SYSTEM))
 
 
 def prj_17_rendered(spark: SparkSession, d: str) -> DataFrame:
-    return _rendered(spark, d).select("trajectory_id", F.sha2("rendered", 256).alias("text_sha256"), F.length("rendered").cast("long").alias("characters"), F.size("spans").cast("long").alias("assistant_spans"))
+    return rendered(spark, d).select("trajectory_id", F.sha2("rendered", 256).alias("text_sha256"), F.length("rendered").cast("long").alias("characters"), F.size("spans").cast("long").alias("assistant_spans"))
 
 
 def flt_11_rendering_errors(spark: SparkSession, d: str) -> DataFrame:
-    return _rendered(spark, d).select(F.explode_outer(pp.rendering_errors(F.col("rendered"), F.col("spans"))).alias("error")).groupBy("error").agg(F.count("*").alias("trajectories"))
+    return rendered(spark, d).select(F.explode_outer(pp.rendering_errors(F.col("rendered"), F.col("spans"))).alias("error")).groupBy("error").agg(F.count("*").alias("trajectories"))
 
 
 def str_08_spans(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rendered(spark, d).select("trajectory_id", "rendered", F.explode("spans").alias("s"))
+    rows = rendered(spark, d).select("trajectory_id", "rendered", F.explode("spans").alias("s"))
     target = F.substr("rendered", F.col("s.content_start") + 1, F.col("s.target_end") - F.col("s.content_start"))
     return rows.select("trajectory_id", F.col("s.ordinal").cast("long").alias("ordinal"), F.col("s.kind").alias("kind"), F.md5(target).alias("target_md5"))
 
 
-def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    return pp.label(_rendered(spark, d), "trajectory_id")
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    return pp.label(rendered(spark, d), "trajectory_id")
 
 
 def jsn_14_labels(spark: SparkSession, d: str) -> DataFrame:
     n, s = F.size("input_ids"), ds.supervised(F.col("labels"))
-    return _labelled(spark, d).select("trajectory_id", n.alias("tokens"), s.alias("supervised"), (n - s).alias("masked"), "merged_spans", ds.supervised(F.col("labels"), True).alias("shifted_supervised"))
+    return labelled(spark, d).select("trajectory_id", n.alias("tokens"), s.alias("supervised"), (n - s).alias("masked"), "merged_spans", ds.supervised(F.col("labels"), True).alias("shifted_supervised"))
 
 
 def prj_18_regions(spark: SparkSession, d: str) -> DataFrame:
-    rendered = _rendered(spark, d)
-    tokens = pp.token_rows(pp.label(rendered, "trajectory_id"), "trajectory_id")
-    return pp.regions(tokens, rendered, "trajectory_id").groupBy("region", "loss").agg(F.count("*").alias("tokens"))
+    made = rendered(spark, d)
+    tokens = pp.token_rows(pp.label(made, "trajectory_id"), "trajectory_id")
+    return pp.regions(tokens, made, "trajectory_id").groupBy("region", "loss").agg(F.count("*").alias("tokens"))
 
 
 def flt_12_flat_arrays(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the label store that break its contract (none, if all is well), by error."""
-    rows = _labelled(spark, d).select("trajectory_id", "input_ids", "labels", F.size("input_ids").alias("n"))
+    rows = labelled(spark, d).select("trajectory_id", "input_ids", "labels", F.size("input_ids").alias("n"))
     placed = ds.offsets(rows, "trajectory_id", "n")
     return ds.flat_array_errors(placed, "trajectory_id", "input_ids", "labels", "offset_start", "offset_end").select(F.explode("errors").alias("error")).groupBy("error").agg(F.count("*").alias("rows"))
 
@@ -77,15 +77,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-def oracle_sql() -> dict[str, str]:
-    from logloom.plans.curation import _TRAIN
+_BODY = "case when m.role = 'tool' then '<tool_response>' || chr(10) || coalesce(m.content, '') || chr(10) || '</tool_response>' when len(coalesce(m.tool_calls, [])) > 0 then array_to_string(list_transform(m.tool_calls, lambda c: '<tool_call>' || chr(10) || '{\"name\": \"' || coalesce(c.name, '') || '\", \"arguments\": ' || coalesce(c.arguments, 'null') || '}' || chr(10) || '</tool_call>'), chr(10)) else coalesce(m.content, '') end"
+
+
+def rendered_sql() -> str:
+    """Training conversations with their messages ``ms`` and rendered text ``t``, as the table ``re``."""
+    return f"{_TRAIN}, re as (select trajectory_id, ms, '<|im_start|>system' || chr(10) || '{SYSTEM}<|im_end|>' || chr(10) || coalesce(array_to_string(list_transform(ms, lambda m: '<|im_start|>' || case when m.role = 'tool' then 'user' else coalesce(m.role, 'user') end || chr(10) || {_BODY} || '<|im_end|>' || chr(10)), ''), '') as t from tr)"
 
-    body = "case when m.role = 'tool' then '<tool_response>' || chr(10) || coalesce(m.content, '') || chr(10) || '</tool_response>' when len(coalesce(m.tool_calls, [])) > 0 then array_to_string(list_transform(m.tool_calls, lambda c: '<tool_call>' || chr(10) || '{\"name\": \"' || coalesce(c.name, '') || '\", \"arguments\": ' || coalesce(c.arguments, 'null') || '}' || chr(10) || '</tool_call>'), chr(10)) else coalesce(m.content, '') end"
-    rendered = f"{_TRAIN}, re as (select trajectory_id, ms, '<|im_start|>system' || chr(10) || '{SYSTEM}<|im_end|>' || chr(10) || coalesce(array_to_string(list_transform(ms, lambda m: '<|im_start|>' || case when m.role = 'tool' then 'user' else coalesce(m.role, 'user') end || chr(10) || {body} || '<|im_end|>' || chr(10)), ''), '') as t from tr)"
+
+def oracle_sql() -> dict[str, str]:
+    text = rendered_sql()
     hour = "date_trunc('hour', ts)"
     return {
-        "prj_17_rendered": f"with {rendered} select trajectory_id, sha256(t) as text_sha256, length(t) as characters, len(list_filter(ms, lambda m: m.role = 'assistant')) as assistant_spans from re",
-        "str_08_spans": f"with {_TRAIN}, a as (select trajectory_id, list_filter(ms, lambda m: m.role = 'assistant') as o from tr), u as (select trajectory_id, generate_subscripts(o, 1) - 1 as ordinal, unnest(o) as m from a) select trajectory_id, ordinal, case when len(coalesce(m.tool_calls, [])) > 0 then 'tool_call' else 'text' end as kind, md5({body} || '<|im_end|>') as target_md5 from u",
+        "prj_17_rendered": f"with {text} select trajectory_id, sha256(t) as text_sha256, length(t) as characters, len(list_filter(ms, lambda m: m.role = 'assistant')) as assistant_spans from re",
+        "str_08_spans": f"with {_TRAIN}, a as (select trajectory_id, list_filter(ms, lambda m: m.role = 'assistant') as o from tr), u as (select trajectory_id, generate_subscripts(o, 1) - 1 as ordinal, unnest(o) as m from a) select trajectory_id, ordinal, case when len(coalesce(m.tool_calls, [])) > 0 then 'tool_call' else 'text' end as kind, md5({_BODY} || '<|im_end|>') as target_md5 from u",
         "stm_04_tumbling": f"select {hour} as window_start, event_type, count(*) as events, round(sum(value), 4) as total from events group by 1, 2",
         "stm_04_sliding": f"with w as (select {hour} as s, event_type, value from events union all select {hour} - interval 1 hour, event_type, value from events) select s as window_start, event_type, count(*) as events, round(sum(value), 4) as total from w group by 1, 2",
         "stm_04_sessions": "with m as (select user_id, ts, value, case when ts < lag(ts) over (partition by user_id order by ts) + interval 6 hour then 0 else 1 end as n from events), s as (select *, sum(n) over (partition by user_id order by ts) as k from m) select user_id, min(ts) as session_start, count(*) as events, round(sum(value), 4) as total from s group by user_id, k",

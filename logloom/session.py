@@ -82,6 +82,13 @@ def materialize(df: DataFrame, name: str = "t", by: Sequence[str] = ()) -> DataF
     return out
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, not written yet; what is there goes with the session."""
+    path = f"{scratch_dir(spark)}/logloom/{name}_{uuid.uuid4().hex[:12]}"
+    _written[path] = spark
+    return path
+
+
 def drop(*frames: DataFrame | None) -> None:
     """Delete what ``materialize`` wrote for these frames."""
     for df in frames:
