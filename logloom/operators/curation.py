@@ -23,7 +23,7 @@ def _calls(m: Column) -> Column:
 
 
 def _has_text(m: Column) -> Column:
-    return F.length(F.trim(F.coalesce(m["content"], F.lit("")))) > 0
+    return F.coalesce(m["content"].rlike(r"(?U)\S"), F.lit(False))
 
 
 def message_stats(messages: Column) -> dict[str, Column]:
@@ -142,7 +142,7 @@ def conversation_errors(messages: Column) -> Column:
 
 def loose_error(messages: Column) -> Column:
     """The first thing that the looser check of a conversation minds; null for none: roles and turns in order, then pairs, then no assistant."""
-    blank = lambda m: F.trim(F.coalesce(m["content"], F.lit(""))) == ""
+    blank = lambda m: ~_has_text(m)
     of = lambda m: F.when(~F.coalesce(m["role"].isin("system", "user", "assistant", "tool"), F.lit(False)), "unsupported role").when((m["role"] == "assistant") & (blank(m) == (F.size(_calls(m)) == 0)), "neither or both of text and calls")
     turn = F.get(F.filter(F.transform(messages, of), lambda e: e.isNotNull()), F.lit(0))
     own = F.filter(messages, lambda m: m["role"] == "assistant")

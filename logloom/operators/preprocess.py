@@ -187,7 +187,7 @@ def regions(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 def completion_kind(text: Column) -> Column:
     """Generated text as tool calls, text, or a protocol error (left-over tags, mixed, empty, arguments that are no object)."""
     calls = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"), 1)
-    rest = F.trim(F.regexp_replace(text, r"(?s)<tool_call>\s*.*?\s*</tool_call>", ""))
+    rest = F.regexp_replace(F.regexp_replace(text, r"(?s)<tool_call>\s*.*?\s*</tool_call>", ""), r"(?U)^\s+|\s+$", "")
     good = F.forall(calls, lambda c: F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(c), "$.arguments", "variant")).startswith("OBJECT"), F.lit(False)))
     stray = rest.contains("<tool_call>") | rest.contains("</tool_call>")
-    return F.when(text.isNull() | (F.trim(text) == ""), "empty").when(stray, "left-over tag").when((F.size(calls) > 0) & (rest != ""), "mixed").when((F.size(calls) > 0) & ~good, "bad arguments").when(F.size(calls) > 0, "tool_call").otherwise("text")
+    return F.when(~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False)), "empty").when(stray, "left-over tag").when((F.size(calls) > 0) & (rest != ""), "mixed").when((F.size(calls) > 0) & ~good, "bad arguments").when(F.size(calls) > 0, "tool_call").otherwise("text")

@@ -57,7 +57,7 @@ def _first(*cases: tuple[Column, Column]) -> Column:
 
 
 def _blank(text: Column) -> Column:
-    return F.coalesce(F.trim(text), F.lit("")) == ""
+    return ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
 def _keys(keys: Column, required: Sequence[str], optional: Sequence[str], at: Column) -> list[tuple[Column, Column]]:

@@ -320,6 +320,11 @@ def oracle_sql() -> dict[str, str]:
         "win_13_length_batches": f"with {_L} select doc_id, n_chars, ((row_number() over (order by n_chars, doc_id) - 1) // 16)::bigint as batch_id from l",
         "agg_29_padding": f"with {_L}, b as (select n_chars, ((row_number() over (order by n_chars, doc_id) - 1) // 16)::bigint as batch_id from l), g as (select batch_id, count(*) as rows, (ceil(max(n_chars) / 8.0) * 8)::bigint as width, sum(n_chars)::bigint as real_tokens from b group by 1) select batch_id, rows, width, real_tokens, rows * width - real_tokens as padding_tokens, round(coalesce((rows * width - real_tokens)::double / nullif(rows * width, 0), 0), 6) as padding_fraction from g",
         "win_14_count_windows": "with g as (select trajectory_id, max(completion_tokens) as c, max(duration_seconds) as t from trajectory_features group by 1), r as (select coalesce(c, 0) as tokens, coalesce(t / nullif(c, 0), 0) as loss, (row_number() over (order by trajectory_id) - 1) // 64 as w from g) select w::bigint as window, count(*) as micro_batches, sum(tokens)::bigint as tokens, round(coalesce(sum(loss * tokens) / nullif(sum(tokens), 0), 0), 6) as loss from r group by 1",
+        "str_07_first_upper": "with r as (select doc_id, text, lower(text) as low from documents) select doc_id, list_min(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, 1) <> substr(low, i + 1, 1))) as at from r where length(low) = length(text)",
+        "jsn_01_canonical": """with a as (select distinct name, arguments from tool_calls), v as (select *, case when json_valid(arguments) then arguments end as doc from a),
+          l as (select name, arguments, fullkey, type, case when type in ('UBIGINT', 'BIGINT', 'DOUBLE') then (atom::varchar::double)::varchar when type in ('OBJECT', 'ARRAY') then '' else atom::varchar end as x from v, json_tree(doc) where doc is not null),
+          c as (select name, arguments, string_agg(fullkey || chr(1) || case when type in ('UBIGINT', 'BIGINT', 'DOUBLE') then 'N' else type end || chr(1) || coalesce(x, ''), chr(2) order by fullkey) as c from l group by 1, 2)
+          select t.name, count(distinct t.arguments) as written, count(distinct c.c) as documents, count(*) filter (c.c is null) as no_json from tool_calls t left join c on c.name is not distinct from t.name and c.arguments = t.arguments group by 1""",
         "mth_03_round_up": f"with {_L} select doc_id, least((ceil(n_chars / 512.0) * 512)::bigint, 17408) as target_length from l",
         "mth_04_padding": "with r as (select doc_id, list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> ''), lambda c: unicode(c)) as p from documents) select doc_id, (ceil(len(p) / 8.0) * 8)::integer as width, coalesce(list_sum(p), 0)::bigint as ids, coalesce(list_sum(p), 0)::bigint - 100 * ((ceil(len(p) / 8.0) * 8)::bigint - len(p)) as labels, len(p) as attended from r",
         "str_01_ngrams": f"with r as (select doc_id, {_W} as w from documents) select doc_id, len(w)::integer as words, len({_G})::integer as ngrams from r",

@@ -326,6 +326,7 @@ def oracle_sql() -> dict[str, str]:
         "flt_14_alignment": f"with {_PICK}, a as (select task_id, trial, termination_reason t from p where model_label = 'sft'), b as (select task_id, trial, termination_reason t from p where model_label = 'vanilla'), j as (select coalesce(a.task_id, b.task_id) as task_id, coalesce(a.trial, b.trial) as trial, case when a.t is null then 'extra' when b.t is null then 'missing' when a.t <> b.t then 'ending differs' end as problem from a full join b on a.task_id = b.task_id and a.trial = b.trial) select * from j where problem is not null",
         "flt_19_max_length": "select kind, max(n_chars) as longest, (ceil(max(n_chars) / 512.0) * 512)::bigint as max_length from documents group by 1",
         "flt_22_limits": f"with {_N} select case when stats.tool_error_count > 3 then 'too_many_errors' when stats.message_count > 30 then 'max_steps' when outcome.duration_seconds > 90 then 'timeout' else 'none' end as stop, count(*) as sessions from l group by 1",
+        "prj_16_redacted": "select distinct task_id, '{' || array_to_string(list_filter(['\"reason_for_call\":' || to_json(instructions.reason_for_call), '\"task_instructions\":' || to_json(instructions.task_instructions)], lambda x: x is not null), ',') || '}' as instructions from tasks where task_id is not null",
         "flt_24_id_range": "with r as (select kind, list_transform(string_split(text, ''), lambda c: unicode(c)) as c from documents where text <> '') select kind, min(list_min(c)) as least, max(list_max(c)) as most from r group by 1",
         "prj_06_training_rows": f"with {_TRAIN} select tr.trajectory_id, {_TN} as task_id, len(ms) + 1 as messages, '{{\"source_run\":\"' || coalesce(source_run, '') || '\",\"tier\":\"' || coalesce(tier, '') || '\"}}' as metadata from tr join l using (trajectory_id)",
         "jsn_11_references": f"with {_REFS} select distinct task_id, ref_kind, id from rf",

@@ -52,4 +52,5 @@ _FOUND = """with recursive d as (select record_id, body::json as j from candidat
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _FOUND}
+    rejects = "select record_id::varchar as record_key, null::varchar as trajectory_id, null::varchar as shape, case when body is null then 'null' when trim(body) = '' then 'empty' else 'incomplete' end as subtype, null::varchar as path, null::varchar as parent from candidate_records where body is null or not json_valid(body) or json_type(body) <> 'OBJECT'"
+    return {"p3_found": _FOUND, "p3_rejects": rejects}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logloom.operators import curation as cu
 from logloom.operators import datasets as ds
 from logloom.operators import preprocess as pp
-from logloom.plans.curation import _TRAIN, GREETINGS, SYSTEM, newest
+from logloom.plans.curation import _N, _TRAIN, GREETINGS, SYSTEM, newest
 from logloom.session import table
 from logloom.streaming import windows as st
 
@@ -91,6 +91,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "prj_17_rendered": f"with {text} select trajectory_id, sha256(t) as text_sha256, length(t) as characters, len(list_filter(ms, lambda m: m.role = 'assistant')) as assistant_spans from re",
         "str_08_spans": f"with {_TRAIN}, a as (select trajectory_id, list_filter(ms, lambda m: m.role = 'assistant') as o from tr), u as (select trajectory_id, generate_subscripts(o, 1) - 1 as ordinal, unnest(o) as m from a) select trajectory_id, ordinal, case when len(coalesce(m.tool_calls, [])) > 0 then 'tool_call' else 'text' end as kind, md5({_BODY} || '<|im_end|>') as target_md5 from u",
+        "flt_25_completions": f"""with {_N}, u as (select unnest(messages) as m from l), k as (select case when len(coalesce(m.tool_calls, [])) > 0 then case when len(list_filter(m.tool_calls, lambda c: not coalesce(json_valid(c.arguments) and json_type(c.arguments) = 'OBJECT', false))) > 0 then 'bad arguments' else 'tool_call' end
+          when trim(coalesce(m.content, '')) = '' then 'empty' when contains(m.content, '<tool_call>') or contains(m.content, '</tool_call>') then 'left-over tag' else 'text' end as kind from u where m.role = 'assistant') select kind, count(*) as messages from k group by 1""",
+        "flt_11_rendering_errors": f"""with {text}, e as (select list_filter([case when not ends_with(t, '<|im_end|>' || chr(10)) then 'no end mark at the end' end, case when len(string_split(t, '<|im_start|>')) <> len(string_split(t, '<|im_end|>')) then 'unbalanced messages' end, case when len(string_split(t, '<tool_call>')) <> len(string_split(t, '</tool_call>')) then 'unbalanced tool calls' end, case when len(list_filter(ms, lambda m: m.role = 'assistant')) = 0 then 'no assistant' end], lambda x: x is not null) as e from re)
+          select case when len(e) = 0 then null else x end as error, count(*) as trajectories from (select e, unnest(case when len(e) = 0 then [null] else e end) as x from e) group by 1""",
         "stm_04_tumbling": f"select {hour} as window_start, event_type, count(*) as events, round(sum(value), 4) as total from events group by 1, 2",
         "stm_04_sliding": f"with w as (select {hour} as s, event_type, value from events union all select {hour} - interval 1 hour, event_type, value from events) select s as window_start, event_type, count(*) as events, round(sum(value), 4) as total from w group by 1, 2",
         "stm_04_sessions": "with m as (select user_id, ts, value, case when ts < lag(ts) over (partition by user_id order by ts) + interval 6 hour then 0 else 1 end as n from events), s as (select *, sum(n) over (partition by user_id order by ts) as k from m) select user_id, min(ts) as session_start, count(*) as events, round(sum(value), 4) as total from s group by user_id, k",
