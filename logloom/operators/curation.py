@@ -40,6 +40,20 @@ def message_stats(messages: Column) -> dict[str, Column]:
     }
 
 
+def assistant_tokens(messages: Column, usage: bool = True) -> dict[str, Column]:
+    """Turns that the model made (with usage or calls; a fixed greeting has neither), their completion tokens and the longest prompt.
+
+    ``usage`` tells whether messages have ``usage(prompt_tokens, completion_tokens)``.
+    """
+    own = F.filter(F.coalesce(messages, F.array()), lambda m: m["role"].eqNullSafe(F.lit("assistant")))
+    used = (lambda m: m["usage"].isNotNull()) if usage else (lambda m: F.lit(False))
+    part = lambda name: F.transform(own, lambda m: m["usage"][name].cast("long")) if usage else F.array().cast("array<bigint>")
+    return {
+        "turns": F.size(F.filter(own, lambda m: used(m) | (F.size(_calls(m)) > 0))), "completion_tokens": F.aggregate(part("completion_tokens"), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))),
+        "max_prompt_tokens": F.coalesce(F.array_max(part("prompt_tokens")), F.lit(0)),
+    }
+
+
 def simplify_messages(df: DataFrame, key: str) -> DataFrame:
     """One row a message: content is null where an assistant calls tools, error is false unless told."""
     rows = df.select(key, F.posexplode("messages").alias("pos", "m"))

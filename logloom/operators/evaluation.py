@@ -147,6 +147,60 @@ def call_features(calls: DataFrame) -> DataFrame:
     )
 
 
+def call_recoveries(calls: DataFrame) -> DataFrame:
+    """``trajectory_id, recovery`` of each failed or unanswered call, as far as calls alone tell: what the next call is."""
+    doc = F.coalesce(canonical_json(F.col("arguments")), "arguments", F.lit(""))
+    once = distinct_calls(calls).select("trajectory_id", "message_index", "call_pos", "name", "error", "response_message_index", F.xxhash64(doc).alias("doc"))
+    w = Window.partitionBy("trajectory_id").orderBy("message_index", "call_pos")
+    nx = F.col("nx")
+    seen = once.withColumn("nx", F.lead(F.struct("name", "doc")).over(w)).filter(F.col("response_message_index").isNull() | F.coalesce("error", F.lit(False)))
+    kind = F.when(F.col("response_message_index").isNull(), "missing_response").when(nx.isNull(), "abandon").when(~nx["name"].eqNullSafe(F.col("name")), "alternate_tool").when(nx["doc"] == F.col("doc"), "exact_retry").otherwise("corrected_retry")
+    return seen.select("trajectory_id", kind.alias("recovery"))
+
+
+def _counted_json(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """``key, out``: how often each value occurs, as a JSON object with sorted keys."""
+    per = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col(value).alias("k"), "n")))  # the different values of one trajectory
+    return per.groupBy(key).agg(F.to_json(F.map_from_entries(entries)).alias(out))
+
+
+def full_features(runs: DataFrame, calls: DataFrame, references: DataFrame) -> DataFrame:
+    """``runs`` with all that its calls tell: counts by family, errors, repeats, sequence, error messages, recoveries, writes against the task's reference, flags.
+
+    ``references(task_id, name)`` are a task's reference writes.  A trajectory
+    without calls has counts of 0 and empty texts.
+    """
+    once = distinct_calls(calls)
+    fam = lambda f: F.count_if(F.col("family") == f)
+    bad = F.coalesce("error", F.lit(False))
+    step = F.struct("message_index", "call_pos", "name")
+    per = once.groupBy("trajectory_id").agg(
+        F.count("*").alias("tool_calls"), fam("read").alias("read_calls"), fam("write").alias("write_calls"), fam("other").alias("utility_calls"), fam("transfer").alias("transfer_calls"), F.count_if(bad).alias("tool_errors"),
+        F.count_if(bad & (F.col("family") == "read")).alias("read_errors"), F.count_if(bad & (F.col("family") == "write")).alias("write_errors"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(step)), lambda c: F.coalesce(c["name"], F.lit(""))), " -> ").alias("tool_sequence"), F.array_sort(F.collect_set(F.when(F.col("family") == "write", F.col("name")))).alias("written"),
+    )
+    told = _counted_json(once.filter(bad).select("trajectory_id", "error_text"), "trajectory_id", "error_text", "error_messages")
+    after = _counted_json(call_recoveries(calls), "trajectory_id", "recovery", "error_recoveries")
+    wanted = references.groupBy("task_id").agg(F.array_sort(F.collect_set("name")).alias("wanted"))
+    none = F.array().cast("array<string>")
+    joined = runs.join(per, "trajectory_id", "left").join(told, "trajectory_id", "left").join(after, "trajectory_id", "left").join(wanted, "task_id", "left")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("tool_calls", "read_calls", "write_calls", "utility_calls", "transfer_calls", "tool_errors", "read_errors", "write_errors")}
+    have, want = F.coalesce("written", none), F.coalesce("wanted", none)
+    full = joined.withColumns({**counts, "tool_sequence": F.coalesce("tool_sequence", F.lit("")), "error_messages": F.coalesce("error_messages", F.lit("{}")), "error_recoveries": F.coalesce("error_recoveries", F.lit("{}")), "unobserved_reference_writes": F.array_join(F.array_except(want, have), " | "), "nonreference_writes": F.array_join(F.array_except(have, want), " | ")})
+    end = F.coalesce("termination_reason", F.lit(""))
+    flags = [
+        (~end.isin("user_stop", "agent_stop", ""), F.concat(F.lit("abnormal_termination:"), end)), (F.col("write_errors") > 0, F.lit("write_tool_error")), (F.coalesce("exact_repeated_calls", F.lit(0)) > 0, F.lit("exact_repeated_call")),
+        (F.col("transfer_calls") > 0, F.lit("transfer_to_human")), (F.col("read_errors") > 0, F.lit("read_tool_error_needs_review")),
+    ]
+    return full.withColumn("diagnostic_flags", F.array_join(F.array_compact(F.array(*[F.when(t, n) for t, n in flags])), " | ")).drop("written", "wanted")
+
+
+def side_by_side(df: DataFrame, keys: Sequence[str], label: str, labels: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row a key with every label's columns, ``<label>_<column>``; null where a label has no row."""
+    return df.groupBy(*keys).agg(*[F.max(F.when(F.col(label) == v, F.col(c))).alias(f"{v}_{c}") for v in labels for c in columns])
+
+
 def distinct_calls(calls: DataFrame) -> DataFrame:
     """Each call once, by its id: the row that came first."""
     rest = [c for c in calls.columns if c not in ("trajectory_id", "call_id")]

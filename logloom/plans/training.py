@@ -254,6 +254,30 @@ def prj_10_review_payload(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("trajectory_id", payload.alias("payload"))
 
 
+WIDE = [
+    "reward", "success", "termination_reason", "duration_seconds", "assistant_turns", "completion_tokens", "max_prompt_tokens", "tool_calls", "read_calls", "write_calls", "utility_calls", "transfer_calls", "tool_errors", "read_errors", "write_errors",
+    "exact_repeated_calls", "consecutive_exact_retries", "mixed_reply_turns", "unobserved_reference_writes", "nonreference_writes", "tool_sequence", "error_messages", "error_recoveries", "diagnostic_flags",
+]
+
+
+def prj_08_all_features(spark: SparkSession, d: str) -> DataFrame:
+    """Each task and trial with all features of all models side by side.
+
+    A task's reference writes are those of its successful runs.  The source has
+    neither prompts' tokens nor replies with text and calls, so these are 0.
+    """
+    calls = table(spark, d, "tool_calls")
+    one = ev.one_per_trial(runs(spark, d)).withColumns({"max_prompt_tokens": F.lit(0), "mixed_reply_turns": F.lit(0)})
+    good = runs(spark, d).filter("abs(reward - 1) <= 1e-6").select("trajectory_id").distinct()
+    references = ev.distinct_calls(calls).filter("family = 'write' AND task_id IS NOT NULL").join(good, "trajectory_id", "left_semi").select("task_id", "name").distinct()
+    return ev.side_by_side(ev.full_features(one, calls, references), ["task_id", "trial"], "model_label", ["sft", "vanilla", "potential"], WIDE)
+
+
+def agg_22_assistant_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Turns, completion tokens and longest prompt of each conversation; the source has no usage, so only turns with calls count."""
+    return newest(spark, d, "messages").select("trajectory_id", *[c.cast("long").alias(n) for n, c in cu.assistant_tokens(F.col("messages"), usage=False).items()])
+
+
 def dat_01_call_times(spark: SparkSession, d: str) -> DataFrame:
     """When each call was made, in ISO form, and how long it took."""
     calls = ev.distinct_calls(table(spark, d, "tool_calls")).filter("called_at IS NOT NULL")
@@ -531,6 +555,21 @@ def oracle_sql() -> dict[str, str]:
         "aux_08_signatures": f"with {_ONCE}, s as (select name || ':' || {signature} as signature from o where starts_with(arguments, '{{') and json_valid(arguments)) select signature, count(*) as calls from s where not contains(signature, '[') and not contains(signature, '{{') group by 1",
         "aux_20_paired_messages": f"with {_ONCE}, c as (select trajectory_id, list(name order by message_index, call_pos, name, call_id) as n from o group by 1) select trajectory_id, len(n) * 2 as messages, case when len(n) > 1 then 'assistant:' || n[1] || ',tool:' || n[1] || ',assistant:' || n[2] || ',tool:' || n[2] else 'assistant:' || n[1] || ',tool:' || n[1] end as head from c",
         "prj_10_review_payload": f"with {_RUNS}, {_ONCE}, p as (select * from (select *, row_number() over (partition by model_label, task_id, trial order by trajectory_id) rn from f where task_id is not null and reward is not null) where rn = 1), oc as (select trajectory_id, count(*) as k, count(*) filter (error) as e from o group by 1) select trajectory_id, case when termination_reason is null then json_object('model', model_label, 'diagnostic_flag', case when coalesce(e, 0) > 0 then 'tool_error' else 'none' end, 'calls', coalesce(k, 0))::varchar else json_object('model', model_label, 'termination_reason', termination_reason, 'diagnostic_flag', case when coalesce(e, 0) > 0 then 'tool_error' else 'none' end, 'calls', coalesce(k, 0))::varchar end as payload from p left join oc using (trajectory_id)",
+        "prj_08_all_features": f"""with {_RUNS}, {_ONCE}, p as (select * from (select *, row_number() over (partition by model_label, task_id, trial order by trajectory_id) rn from f where task_id is not null and reward is not null) where rn = 1),
+          gd as (select distinct trajectory_id from f where abs(reward - 1) <= 1e-6), wr as (select task_id, list(distinct name) as wanted from o where family = 'write' and task_id is not null and trajectory_id in (select * from gd) group by 1),
+          pc as (select trajectory_id, count(*) as tool_calls, {", ".join(f"count(*) filter (family = '{f}') as {n}_calls" for f, n in (("read", "read"), ("write", "write"), ("other", "utility"), ("transfer", "transfer")))}, count(*) filter (error) as tool_errors, count(*) filter (error and family = 'read') as read_errors, count(*) filter (error and family = 'write') as write_errors,
+            string_agg(coalesce(name, ''), ' -> ' order by message_index, call_pos) as tool_sequence, list(distinct name) filter (family = 'write') as written from o group by 1),
+          er as (select trajectory_id, '{{' || string_agg(to_json(error_text)::varchar || ':' || n, ',' order by error_text) || '}}' as error_messages from (select trajectory_id, error_text, count(*) n from o where error and error_text is not null group by 1, 2) group by 1),
+          dn as (select *, case when json_valid(arguments) and json_type(arguments) = 'OBJECT' then array_to_string(list_sort(list_transform(json_keys(arguments), lambda k: k || chr(1) || json_extract(arguments, '$."' || k || '"')::varchar)), chr(2)) else arguments end as doc from o),
+          nx as (select *, lead(name) over w as nname, lead(doc) over w as ndoc, lead(trajectory_id) over w as nt from dn window w as (partition by trajectory_id order by message_index, call_pos)),
+          rc as (select trajectory_id, case when response_message_index is null then 'missing_response' when nt is null then 'abandon' when nname is distinct from name then 'alternate_tool' when ndoc is not distinct from doc then 'exact_retry' else 'corrected_retry' end as recovery from nx where response_message_index is null or error),
+          rj as (select trajectory_id, '{{' || string_agg('"' || recovery || '":' || n, ',' order by recovery) || '}}' as error_recoveries from (select trajectory_id, recovery, count(*) n from rc group by 1, 2) group by 1),
+          a as (select p.*, abs(reward - 1) <= 1e-6 as ok, {", ".join(f"coalesce(pc.{c}, 0) as {c}" for c in ("tool_calls", "read_calls", "write_calls", "utility_calls", "transfer_calls", "tool_errors", "read_errors", "write_errors"))}, coalesce(tool_sequence, '') as tool_sequence, coalesce(error_messages, '{{}}') as error_messages, coalesce(error_recoveries, '{{}}') as error_recoveries, 0 as max_prompt_tokens, 0 as mixed_reply_turns,
+            array_to_string(list_sort(list_filter(coalesce(wanted, []), lambda x: not list_contains(coalesce(written, []), x))), ' | ') as unobserved_reference_writes, array_to_string(list_sort(list_filter(coalesce(written, []), lambda x: not list_contains(coalesce(wanted, []), x))), ' | ') as nonreference_writes
+            from p left join pc using (trajectory_id) left join er using (trajectory_id) left join rj using (trajectory_id) left join wr using (task_id)),
+          b as (select *, array_to_string(list_filter([case when coalesce(termination_reason, '') not in ('user_stop', 'agent_stop', '') then 'abnormal_termination:' || termination_reason end, case when write_errors > 0 then 'write_tool_error' end, case when exact_repeated_calls > 0 then 'exact_repeated_call' end, case when transfer_calls > 0 then 'transfer_to_human' end, case when read_errors > 0 then 'read_tool_error_needs_review' end], lambda x: x is not null), ' | ') as diagnostic_flags from a)
+          select task_id, trial, """ + ", ".join(f"max(case when model_label = '{m}' then {c} end) as {m}_{c}" for m in ("sft", "vanilla", "potential") for c in WIDE) + " from b group by 1, 2",
+        "agg_22_assistant_tokens": f"with {_N} select trajectory_id, len(list_filter(coalesce(messages, []), lambda m: m.role = 'assistant' and len(coalesce(m.tool_calls, [])) > 0)) as turns, 0 as completion_tokens, 0 as max_prompt_tokens from l",
         "dat_01_call_times": f"with {_ONCE} select call_id, strftime(called_at, '%Y-%m-%dT%H:%M:%S.%f') as called_at, date_diff('microsecond', called_at, finished_at) / 1e6 as seconds from o where called_at is not null",
         "jon_10_expanded_references": """with c as (select task_id, json_extract_string(arguments, '$.order_id') as o from tool_calls where task_id is not null and json_valid(arguments) and json_type(arguments) = 'OBJECT'), """
         + """rk as (select distinct task_id, k, unnest(case when json_type(arguments, '$."' || k || '"') = 'ARRAY' then cast(json_extract(arguments, '$."' || k || '"') as varchar[]) else [json_extract_string(arguments, '$."' || k || '"')] end) as id from (select task_id, arguments, unnest(json_keys(arguments)) as k from tool_calls where task_id is not null and json_valid(arguments) and json_type(arguments) = 'OBJECT') where k in ('user_id', 'order_id', 'product_id', 'item_ids', 'new_item_ids', 'payment_method_id') and json_type(arguments, '$."' || k || '"') <> 'NULL'),
