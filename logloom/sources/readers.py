@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import dataclasses
 import hashlib
+import json
 import subprocess
+import tomllib
+import types
+import typing
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 from typing import Any
@@ -215,14 +219,57 @@ class TokenDataset:
         return ids.first().asDict()
 
 
-def strict_config(kind: type, values: Mapping[str, Any]) -> Any:
-    """A dataclass from a mapping with exactly its fields (those with a default may be missing)."""
+def _fits(value: Any, kind: Any) -> bool:
+    """Whether a value is of a plain type, a choice of them, or a list or mapping; a truth value is no number."""
+    origin = typing.get_origin(kind)
+    if origin in (typing.Union, types.UnionType):
+        return any(_fits(value, k) for k in typing.get_args(kind))
+    if origin is typing.Literal:
+        return value in typing.get_args(kind)
+    if origin in (list, tuple):
+        inner = typing.get_args(kind)
+        return isinstance(value, (list, tuple)) and (not inner or all(_fits(v, inner[0]) for v in value))
+    if origin is dict:
+        return isinstance(value, Mapping)
+    if kind in (Any, None) or not isinstance(kind, type):
+        return kind is not None or value is None
+    if kind in (int, float):
+        return isinstance(value, (int, float) if kind is float else int) and not isinstance(value, bool)
+    return isinstance(value, kind)
+
+
+def strict_config(kind: type, values: Mapping[str, Any], where: str = "config") -> Any:
+    """A dataclass from a mapping with exactly its fields (those with a default may be missing), each of its type; nested dataclasses too."""
     fields = {f.name: f for f in dataclasses.fields(kind)}
     missing = sorted(n for n, f in fields.items() if n not in values and f.default is dataclasses.MISSING and f.default_factory is dataclasses.MISSING)
     extra = sorted(set(values) - set(fields))
     if missing or extra:
-        raise InputError(f"missing keys {missing}, unexpected keys {extra}")
-    return kind(**values)
+        raise InputError(f"{where}: missing keys {missing}, unexpected keys {extra}")
+    hints, made = typing.get_type_hints(kind, localns={kind.__name__: kind}), dict(values)
+    for name, value in values.items():
+        if dataclasses.is_dataclass(hints[name]) and isinstance(value, Mapping):
+            made[name] = strict_config(hints[name], value, f"{where}.{name}")
+        elif not _fits(value, hints[name]):
+            raise InputError(f"{where}.{name}: {value!r} is not {getattr(hints[name], '__name__', hints[name])}")
+    return kind(**made)
+
+
+def read_config(path: str) -> dict[str, Any]:
+    """A mapping from a JSON, TOML or (where a YAML reader is installed) YAML file."""
+    text = files.read_text(path)
+    if path.endswith(".toml"):
+        found: Any = tomllib.loads(text)
+    elif path.endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise InputError(f"{path}: no YAML reader is installed") from e
+        found = yaml.safe_load(text)
+    else:
+        found = json.loads(text)
+    if not isinstance(found, dict):
+        raise InputError(f"{path}: not a mapping")
+    return found
 
 
 def expand_environment(value: Any, environ: Mapping[str, str]) -> Any:

@@ -160,3 +160,49 @@ def test_windows_drop_rows_that_are_too_late(spark, tmp_path):
     assert {(r.window_start.hour, r.total) for r in spark.read.parquet(out).collect()} == {(0, 1.0), (3, 2.0)}
     batch = spark.createDataFrame(lines, "ts string, v double").selectExpr("cast(ts as timestamp) ts", "'a' k", "v")
     assert windows.sessions(batch, "ts", "4 hours", "k", "v").count() == 2
+
+
+def test_configs_have_types(spark, tmp_path):
+    from dataclasses import dataclass, field
+
+    @dataclass
+    class Part:
+        rate: float
+        names: list[str] = field(default_factory=list)
+
+    @dataclass
+    class Whole:
+        n: int
+        part: Part
+        mode: str | None = None
+
+    Whole.__annotations__["part"] = Part
+    (tmp_path / "c.toml").write_text('n = 3\n[part]\nrate = 1\nnames = ["a"]\n')
+    assert readers.strict_config(Whole, readers.read_config(str(tmp_path / "c.toml"))) == Whole(3, Part(1, ["a"]))
+    for bad, said in (({"n": True, "part": {"rate": 1}}, "config.n"), ({"n": 1, "part": {"rate": "x"}}, "config.part.rate"), ({"n": 1, "part": {}}, "config.part: missing"), ({"n": 1, "part": {"rate": 1, "names": [1]}}, "config.part.names"), ({"n": 1, "part": {"rate": 1}, "mode": 3}, "config.mode")):
+        with pytest.raises(readers.InputError, match=said):
+            readers.strict_config(Whole, bad)
+    (tmp_path / "c.json").write_text("[1]")
+    with pytest.raises(readers.InputError, match="not a mapping"):
+        readers.read_config(str(tmp_path / "c.json"))
+
+
+def test_lineage_and_analysis(spark, tmp_path):
+    from logloom.sinks import lineage
+
+    for name, doc in (("a.json", document(reward=0.0)), ("b.json", document(trials=(0, 1)))):
+        (tmp_path / name).write_text(json.dumps(doc))
+    out = str(tmp_path / "out")
+    summary = {r.model_label: r.pass_1 for r in lineage.analyse(spark, {"old": [str(tmp_path / "a.json")], "new": [str(tmp_path / "b.json")]}, out).collect()}
+    assert summary == {"old": 0.0, "new": 1.0} and spark.read.csv(f"{out}/task_rewards", header=True).count() == 2
+    made = lineage.manifest(spark, "run", {"k": 1}, {"runs": str(tmp_path / "a.json")}, {"summary": f"{out}/summary"}, {"tasks": 1}, root=str(tmp_path))
+    assert made["inputs"]["runs"]["path"] == "a.json" and len(made["inputs"]["runs"]["files"][0]["sha256"]) == 64 and made["versions"]["pyspark"]
+    lineage.write_manifest(str(tmp_path / "m.json"), made)
+    with pytest.raises(readers.InputError):
+        lineage.write_manifest(str(tmp_path / "m.json"), made | {"settings_sha256": "other"})
+    with pytest.raises(FileNotFoundError):
+        lineage.manifest(spark, "run", {}, {"x": str(tmp_path / "none")}, {}, {})
+    assert lineage.console_summary("T", {"tasks": 1200, "share": 0.5}) == "T\n  tasks  1,200\n  share  50.00%\n"
+    with pytest.raises(readers.InputError):
+        lineage.require_list({}, "x")
+    assert lineage.require_mapping({"a": 1}, "x") == {"a": 1}
