@@ -11,12 +11,12 @@ from logloom.operators import nested
 from logloom.session import table
 
 
-def _flat(spark: SparkSession, sf_dir: str, shapes: bool = True) -> DataFrame:
-    return nested.flatten_records(table(spark, sf_dir, "candidate_records").select("record_id", "body"), shapes=shapes)
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.flatten_records(table(spark, sf_dir, "candidate_records").select("record_id", "body"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = _flat(spark, sf_dir, shapes=False).filter("entity IN ('call', 'reward')")
+    flat = _flat(spark, sf_dir).filter("entity IN ('call', 'reward')")
     place = lambda c: F.when(F.col("entity") == "reward", -1).otherwise(F.col(c)).cast("int").alias(c)
     return flat.select("trajectory_id", F.col("entity").alias("kind"), place("message_pos"), "item", place("answer_pos")).distinct()
 
