@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.text import canonical_json, word_ngrams, words
+from logloom.functions.text import canonical_json, task_order, word_ngrams, words
 from logloom.operators.ordering import group_positions
+from logloom.session import drop, materialize
 
 # Fixed values of the screening rules.
 LONG_TURNS, MANY_CALLS = 20, 15
@@ -205,7 +206,7 @@ def grams(messages: Column) -> Column:
     return word_ngrams(words(text_of(messages)))
 
 
-#: Greedy selection keeps one state for all picks; more eligible rows than this are refused, never cut.
+#: Eligible rows that one task chooses from; a larger pool is chosen from pick by pick, with the same result.
 MOST_ELIGIBLE = 20_000
 
 
@@ -213,56 +214,120 @@ def select_greedily(eligible: DataFrame, target: int, least: int) -> DataFrame:
     """The two-phase greedy choice: ``trajectory_id, task_id, phase, score, selected_index``.
 
     ``eligible(trajectory_id, task_id, tier, quality, task_rank, grams, trace)``.
-    Each pick changes the scores of the rest, so picks follow one another in a
-    single task over compact features; for larger pools use a method that
-    isn't sequential.  Tasks with fewer than ``least`` rows give what they have.
+    Each pick changes the scores of the rest, so picks follow one another.  A
+    pick changes only the scores of its own task and, alike, of all rows of a
+    tier.  So of a large pool the best row of each task and tier is enough to
+    choose from, and after a pick only its task is looked at again.  Tasks with
+    fewer than ``least`` rows give what they have; a pool smaller than
+    ``target`` is chosen whole.
     """
-    n = eligible.count()
-    if n > MOST_ELIGIBLE:
-        raise ValueError(f"{n} eligible rows; greedy selection takes at most {MOST_ELIGIBLE}")
+    if eligible.count() > MOST_ELIGIBLE:
+        return eligible.sparkSession.createDataFrame(list(_stepwise(eligible, target, least)), _CHOSEN)  # at most ``target`` rows
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_greedy(pdf, target, least)), columns=["trajectory_id", "task_id", "phase", "score", "selected_index"])
 
-    return eligible.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "trajectory_id string, task_id string, phase string, score double, selected_index int")
+    return eligible.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, _CHOSEN)
+
+
+_CHOSEN = "trajectory_id string, task_id string, phase string, score double, selected_index int"
+
+
+class _Balance:
+    """What all picks so far say of the next one's score."""
+
+    def __init__(self, target: int) -> None:
+        self.quota = {"low": target // 4, "medium": target // 2}
+        self.quota["high"] = target - self.quota["low"] - self.quota["medium"]
+        self.taken: dict[str, int] = {}
+        self.per_task: dict[str, int] = {}
+        self.count = 0
+
+    def score(self, r: dict) -> tuple:
+        q = self.quota.get(r["tier"], 0)
+        need = max(q - self.taken.get(r["tier"], 0), 0) / max(q, 1)
+        combined = 0.70 * r["quality"] + 0.20 * (1 - r["near"]) + 0.06 * need + 0.04 / (self.per_task.get(r["task_id"], 0) + 1)
+        return combined, -r["task_rank"], r["trajectory_id"]
+
+    def take(self, best: dict, phase: str) -> tuple:
+        won = self.score(best)[0]
+        self.taken[best["tier"]] = self.taken.get(best["tier"], 0) + 1
+        self.per_task[best["task_id"]] = self.per_task.get(best["task_id"], 0) + 1
+        self.count += 1
+        return best["trajectory_id"], best["task_id"], phase, round(won, 6), self.count
+
+
+def _likeness(a: dict, b: dict) -> float:
+    """Similarity of two rows whose ``grams`` are sets and ``trace`` lists."""
+    union = len(a["grams"] | b["grams"])
+    text = len(a["grams"] & b["grams"]) / union if union else 1.0
+    return 0.75 * text + 0.25 * SequenceMatcher(None, a["trace"], b["trace"]).ratio()
+
+
+def _stepwise(eligible: DataFrame, target: int, least: int) -> Iterator[tuple]:
+    """The picks of ``_greedy`` from a pool of any size: the driver holds the best rows of some tasks and the picks, nothing else."""
+    rows, state = materialize(eligible, "eligible", by=["task_id"]), _Balance(target)
+    head = F.struct("trajectory_id", "task_id", "tier", "quality", "task_rank", "near")
+    best_of = lambda df: df.groupBy("task_id", "tier").agg(F.max_by(head, F.struct(0.70 * F.col("quality") + 0.20 * (1 - F.col("near")), -F.col("task_rank"), "trajectory_id")).alias("r")).select("r.*")
+    bests = materialize(best_of(rows.withColumn("near", F.lit(0.0))), "bests")
+    pool: dict[tuple[str, str], dict] = {}
+    picked: dict[str, list[dict]] = {}
+
+    def hold(found: DataFrame) -> None:
+        pool.update({(r.task_id, r.tier): r.asDict() for r in found.collect()})
+
+    def pick(best: dict, phase: str) -> tuple:
+        task = best["task_id"]
+        full = rows.filter((F.col("task_id") == task) & (F.col("trajectory_id") == best["trajectory_id"])).select("grams", "trace").first()
+        own = picked.setdefault(task, [])
+        own.append({"id": best["trajectory_id"], "grams": set(full.grams), "trace": list(full.trace)})
+        for key in [k for k in pool if k[0] == task]:
+            del pool[key]
+
+        def near(grams: pd.Series, trace: pd.Series) -> pd.Series:
+            return pd.Series([max(_likeness({"grams": set(g), "trace": list(t)}, p) for p in own) for g, t in zip(grams, trace, strict=True)], dtype=float)
+
+        left = rows.filter((F.col("task_id") == task) & ~F.col("trajectory_id").isin([p["id"] for p in own]))
+        out = state.take(best, phase)
+        hold(best_of(left.withColumn("near", F.pandas_udf(near, "double")("grams", "trace"))))
+        return out
+
+    tasks = [r.task_id for r in bests.select("task_id").distinct().orderBy(*task_order(F.col("task_id"))).limit(target).collect()]
+    hold(bests.filter(F.col("task_id").isin(tasks)))
+    for task in tasks:
+        for _ in range(least):
+            held = [r for k, r in pool.items() if k[0] == task]
+            if held and state.count < target:
+                yield pick(max(held, key=state.score), "task_coverage")
+    # Untouched tasks: no more than ``target`` of a tier can be picked, so their best of each tier are enough.
+    fresh = bests.filter(~F.col("task_id").isin(list(picked)))
+    ranked = group_positions(fresh, F.col("tier"), [F.col("quality").desc(), F.col("task_rank").asc(), F.col("trajectory_id").desc()], "place").filter(F.col("place") <= target).drop("place")
+    for key in [k for k in pool if k[0] not in picked]:
+        del pool[key]
+    hold(ranked)
+    while state.count < target and pool:
+        yield pick(max(pool.values(), key=state.score), "global_diversity")
+    drop(rows, bests)
 
 
 def _greedy(pdf: pd.DataFrame, target: int, least: int) -> Iterator[tuple]:
-    rows = [dict(zip(pdf.columns, r, strict=True)) for r in pdf.itertuples(index=False)]
+    rows, state = [dict(zip(pdf.columns, r, strict=True)) for r in pdf.itertuples(index=False)], _Balance(target)
     by_task: dict[str, list[dict]] = {}
     for r in rows:
         r["grams"], r["trace"], r["near"] = set(r["grams"]), list(r["trace"]), 0.0
         by_task.setdefault(r["task_id"], []).append(r)
-    quota = {"low": target // 4, "medium": target // 2}
-    quota["high"] = target - quota["low"] - quota["medium"]
-    taken: dict[str, int] = {}
-    per_task: dict[str, int] = {}
-    count = 0
-
-    def score(r: dict) -> tuple:
-        q = quota.get(r["tier"], 0)
-        need = max(q - taken.get(r["tier"], 0), 0) / max(q, 1)
-        combined = 0.70 * r["quality"] + 0.20 * (1 - r["near"]) + 0.06 * need + 0.04 / (per_task.get(r["task_id"], 0) + 1)
-        return combined, -r["task_rank"], r["trajectory_id"]
 
     def pick(pool: list[dict], phase: str) -> tuple:
-        nonlocal count
-        best = max(pool, key=score)
-        won = score(best)[0]
+        best = max(pool, key=state.score)
         by_task[best["task_id"]].remove(best)
-        taken[best["tier"]] = taken.get(best["tier"], 0) + 1
-        per_task[best["task_id"]] = per_task.get(best["task_id"], 0) + 1
         for other in by_task[best["task_id"]]:
-            union = len(other["grams"] | best["grams"])
-            text = len(other["grams"] & best["grams"]) / union if union else 1.0
-            other["near"] = max(other["near"], 0.75 * text + 0.25 * SequenceMatcher(None, other["trace"], best["trace"]).ratio())
-        count += 1
-        return best["trajectory_id"], best["task_id"], phase, round(won, 6), count
+            other["near"] = max(other["near"], _likeness(other, best))
+        return state.take(best, phase)
 
     for task in sorted(by_task, key=lambda t: (not t.isdigit(), int(t) if t.isdigit() else 0, t)):
         for _ in range(least):
-            if by_task[task] and count < target:
+            if by_task[task] and state.count < target:
                 yield pick(by_task[task], "task_coverage")
     # One best row a task is enough for the next pick: only the picked task's scores change within it, the tier term changes for all.
-    while count < target and any(by_task.values()):
-        yield pick([max(pool, key=score) for pool in by_task.values() if pool], "global_diversity")
+    while state.count < target and any(by_task.values()):
+        yield pick([max(pool, key=state.score) for pool in by_task.values() if pool], "global_diversity")

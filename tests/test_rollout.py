@@ -122,3 +122,18 @@ def test_values_told_and_targets(spark):
     assert {(r.kind, tuple(r.subject), r.value) for r in shown.collect()} == {("calculation_result", ("3*4",), "12"), ("product_name", ("77",), "Lamp"), ("product_known", ("77",), None)}
     grown = facts.expand_references(refs, "key", spark.createDataFrame([("o", "u")], "order_id string, user_id string"), spark.createDataFrame([], "user_id string, payment_id string"))
     assert ("k", "user", "u") in {tuple(r) for r in grown.collect()}
+
+
+def test_a_large_pool_is_chosen_from_pick_by_pick(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    rows = [(f"t{i:03d}", str(rng.choice([3, 10, 2, 7, 7, 7])) if i % 9 else f"x{i % 4}", rng.choice(["low", "medium", "high", ""]), rng.choice([0.5, 0.7, rng.random()]), rng.randrange(5), [rng.randrange(12) for _ in range(6)], [rng.randrange(3) for _ in range(4)]) for i in range(70)]
+    df = spark.createDataFrame(rows, "trajectory_id string, task_id string, tier string, quality double, task_rank int, grams array<bigint>, trace array<bigint>")
+    for target, least in ((16, 2), (3, 1)):
+        want = sorted(map(tuple, curation.select_greedily(df, target, least).collect()), key=lambda r: r[4])
+        monkeypatch.setattr(curation, "MOST_ELIGIBLE", 0)
+        got = sorted(map(tuple, curation.select_greedily(df, target, least).collect()), key=lambda r: r[4])
+        monkeypatch.undo()
+        assert got == want and len(got) == target and len({r[0] for r in got}) == target
+    assert curation.select_greedily(df.limit(0), 4, 1).count() == 0
