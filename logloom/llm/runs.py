@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logloom.session import materialize
 
 #: A number as JSON writes it, maybe with a plus: sign, whole digits, decimals and exponent (an exponent beyond 18 digits makes it a text).
 _NUMBER = r"^\s*([+-]?)(0|[1-9][0-9]*)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]{1,18}))?\s*$"
@@ -176,6 +177,7 @@ def collapse_runs(
             (F.col("pos") == 1).alias("head"), (nx.isNull() | ~nx["new"]).alias("tail"),
         )
     )
+    runs = materialize(runs, "runs")  # read twice below; far fewer rows than events
     names = ["g", "first_id", "last_id", "n", "run_begin", "run_end"]
     inner = runs.filter(~F.col("head") & ~F.col("tail")).select(*names)
     over = Window.partitionBy("g").orderBy("blk", "pos")
