@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,11 +16,19 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
 
 
+def bound(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(value)`` with ``value`` evaluated once, however often the result names it: functions of arrays would evaluate it for every element."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def word_ngrams(tokens: Column, n: int = 3) -> Column:
     """Distinct runs of ``n`` words; the distinct words themselves where there are fewer."""
-    starts = F.sequence(F.lit(0), F.size(tokens) - n)
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
-    return F.array_distinct(F.when(F.size(tokens) >= n, runs).otherwise(tokens))
+
+    def build(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+        return F.array_distinct(F.when(F.size(w) >= n, runs).otherwise(w))
+
+    return bound(tokens, build)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -63,16 +73,20 @@ def first_difference(a: Column, b: Column) -> Column:
     Found by halving with prefix comparison, so a text costs the logarithm of
     its length in comparisons and no array of its characters is made.
     """
-    low, high = F.lit(0), F.least(F.length(a), F.length(b))
-    state = F.struct(low.cast("int").alias("lo"), high.cast("int").alias("hi"))
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = ((s["lo"] + s["hi"] + 1) / 2).cast("int")
-        equal = F.substr(a, F.lit(1), mid) == F.substr(b, F.lit(1), mid)
-        return F.struct(F.when(equal, mid).otherwise(s["lo"]).alias("lo"), F.when(equal, s["hi"]).otherwise(mid - 1).alias("hi"))
+    def find(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        state = F.struct(F.lit(0).alias("lo"), F.least(F.length(a), F.length(b)).cast("int").alias("hi"))
+
+        def halve(s: Column) -> Column:
+            mid = ((s["lo"] + s["hi"] + 1) / 2).cast("int")
+            equal = F.substr(a, F.lit(1), mid) == F.substr(b, F.lit(1), mid)
+            return F.struct(F.when(equal, mid).otherwise(s["lo"]).alias("lo"), F.when(equal, s["hi"]).otherwise(mid - 1).alias("hi"))
+
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(32)), state, lambda s, _: F.when(s["lo"] < s["hi"], halve(s)).otherwise(s))
+        return F.when(a != b, found["lo"])
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(32)), state, lambda s, i: F.when(s["lo"] < s["hi"], halve(s, i)).otherwise(s))
-    return F.when(a != b, found["lo"])
+    return bound(F.struct(a.alias("a"), b.alias("b")), find)
 
 
 def json_object_in(text: Column) -> Column:

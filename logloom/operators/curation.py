@@ -206,6 +206,21 @@ def grams(messages: Column) -> Column:
     return word_ngrams(words(text_of(messages)))
 
 
+def trace(messages: Column) -> Column:
+    """The hashes of an assistant's calls in order: name and canonical arguments."""
+    own = F.filter(messages, lambda m: m["role"] == "assistant")
+    return F.flatten(F.transform(own, lambda m: F.transform(_calls(m), lambda c: F.xxhash64(F.coalesce(c["name"], F.lit("")), F.coalesce(canonical_json(c["arguments"]), c["arguments"], F.lit(""))))))
+
+
+def match_ratio(a: Column, b: Column) -> Column:
+    """Twice the matched elements over all of two sequences; 1 where both are empty."""
+
+    def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, list(p), list(q)).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return F.pandas_udf(ratios, "double")(a, b)
+
+
 #: Eligible rows that one task chooses from; a larger pool is chosen from pick by pick, with the same result.
 MOST_ELIGIBLE = 20_000
 

@@ -67,6 +67,12 @@ def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
     return group_positions(df, None, [F.col(order).asc()], "__place").withColumn(out, F.col("__place") - 1).drop("__place")
 
 
+def training_length(longest: Column, multiple: int, limit: int) -> Column:
+    """The longest row's length, rounded up; null where that is above the limit, since nothing is cut short."""
+    rounded = round_up(longest, multiple).cast("long")
+    return F.when(rounded <= limit, rounded)
+
+
 def padded_batches(df: DataFrame, batch: str, tokens: str, to: int) -> DataFrame:
     """Each batch's rows, tokens, width (its longest row, rounded up to ``to``) and padding."""
     per = df.groupBy(batch).agg(F.count("*").alias("rows"), F.sum(tokens).cast("long").alias("tokens"), round_up(F.max(tokens), to).cast("long").alias("width"))

@@ -147,6 +147,33 @@ def call_features(calls: DataFrame) -> DataFrame:
     )
 
 
+def runtime_rows(sims: DataFrame) -> DataFrame:
+    """``sims`` with messages counted by role, calls and errors, in place of the messages.
+
+    ``duration``, ``reward`` and ``messages`` are given; where messages have
+    ``usage``, the tokens that agent and user read and wrote are summed too.
+    Columns such as costs are kept.
+    """
+    m = F.coalesce(F.col("messages"), F.array().cast(sims.schema["messages"].dataType))
+    of = lambda r: F.filter(m, lambda x: x["role"].eqNullSafe(F.lit(r)))
+    calls = F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + F.greatest(F.coalesce(F.size(x["tool_calls"]), F.lit(0)), F.lit(0)))
+    counts = {f"{r}_messages": F.size(of(r)) for r in ("assistant", "user", "tool")} | {"tool_calls": calls, "tool_errors": F.size(F.filter(of("tool"), lambda x: F.coalesce(x["error"], F.lit(False))))}
+    if "usage" in sims.schema["messages"].dataType.elementType.fieldNames():
+        read = lambda r, part: F.aggregate(F.transform(of(r), lambda x: x["usage"][part].cast("long")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+        counts |= {f"{who}_{way}_tokens": read(r, part) for who, r in (("agent", "assistant"), ("user", "user")) for way, part in (("input", "prompt_tokens"), ("output", "completion_tokens"))}
+    kept = [c for c in sims.columns if c not in ("messages", "duration", "reward")]
+    return sims.select(*kept, F.round("duration", 3).alias("duration_seconds"), F.col("reward").alias("env_reward"), *[c.cast("long").alias(n) for n, c in counts.items()])
+
+
+def missing_trials(rows: DataFrame, label: str, labels: Sequence[str], trials: int) -> DataFrame:
+    """``label, task_id, missing``: of every task that any label has, the trials (0 to ``trials`` - 1) that a label lacks, if any."""
+    known = rows.filter(F.col(label).isin(list(labels)) & F.col("task_id").isNotNull())
+    grid = known.select("task_id").distinct().select(F.explode(F.array(*[F.lit(v) for v in labels])).alias(label), "task_id")
+    have = known.groupBy(label, "task_id").agg(F.collect_set(F.col("trial").cast("int")).alias("have"))
+    gaps = F.array_except(F.sequence(F.lit(0), F.lit(trials - 1)), F.coalesce("have", F.array().cast("array<int>")))
+    return grid.join(have, [label, "task_id"], "left").select(label, "task_id", gaps.alias("gaps")).filter("size(gaps) > 0").select(label, "task_id", F.array_join(F.array_sort("gaps"), ",").alias("missing"))
+
+
 def call_recoveries(calls: DataFrame) -> DataFrame:
     """``trajectory_id, recovery`` of each failed or unanswered call, as far as calls alone tell: what the next call is."""
     doc = F.coalesce(canonical_json(F.col("arguments")), "arguments", F.lit(""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.numbers import ratio
@@ -98,6 +98,37 @@ def restored(values: Column, places: Column, length: Column, fill: Column) -> Co
     return F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.coalesce(F.get(values, (F.array_position(places, i) - 1).cast("int")), fill))
 
 
+def replayed_ends(events: DataFrame, key: str, place: str, error: str, most_errors: int, most_steps: int) -> DataFrame:
+    """``key, ended_at, reason``: the first message at which a session would have had to stop; ``running`` and no place where none.
+
+    Errors are looked at before steps, as after each message both may be over.
+    """
+    w = Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one session's messages
+    counted = events.select(key, place, F.count_if(F.coalesce(error, F.lit(False))).over(w).alias("errors"), F.count("*").over(w).alias("steps"))
+    reason = F.when(F.col("errors") >= most_errors, "too_many_errors").when(F.col("steps") >= most_steps, "max_steps")
+    first = counted.select(key, place, reason.alias("reason")).groupBy(key).agg(F.min(F.when(F.col("reason").isNotNull(), F.struct(F.col(place).alias("at"), "reason"))).alias("f"))
+    return first.select(key, F.col("f.at").cast("long").alias("ended_at"), F.coalesce("f.reason", F.lit("running")).alias("reason"))
+
+
+def step_lines(metrics: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
+    """``keys, first_line, second_line``: a step told in two lines from ``metric, value`` rows; metrics that are missing are 0."""
+    whole = lambda name: F.coalesce(F.max(F.when(F.col("metric") == name, F.col("value"))), F.lit(0.0)).cast("long")
+    real = lambda name: F.coalesce(F.max(F.when(F.col("metric") == name, F.col("value"))), F.lit(0.0))
+    first = F.format_string(
+        f"[step {step}] reward %d/%d | mixed %d/%d | rollout %.1fs | retries %d", whole("reward/success_count"), whole("rollout/valid_trajectories"), whole("grpo/mixed_group_count"), whole("grpo/group_count"), real("timing_s/gen"), whole("infra/retry_attempt_count"),
+    )
+    second = F.format_string(
+        f"[step {step}] ref %.1fs | actor %.1fs | KL %.4f | sync %.1fs | checkpoint %.1fs | total %.1fs | micro_batches %d | MFU %.1f%% | peak %.1fGB",
+        real("timing_s/ref"), real("timing_s/update_actor"), real("actor/kl_loss"), real("timing_s/update_weights"), real("timing_s/save_checkpoint"), real("timing_s/step"), whole("actor/dynamic_micro_batch_count"), real("perf/mfu/actor") * 100, real("perf/actor_peak_memory_allocated_gb"),
+    )
+    return metrics.groupBy(*keys).agg(first.alias("first_line"), second.alias("second_line"))
+
+
+def has_local_signal(spans: Column) -> Column:
+    """Whether any span has progress, a new fact or an error."""
+    return F.exists(spans, lambda s: (F.coalesce(s["progress"], F.lit(0.0)) != 0) | (F.coalesce(s["fact"], F.lit(0.0)) != 0) | F.coalesce(s["error"], F.lit(False)))
+
+
 def sequence_score(scores: Column) -> Column:
     """The sum of a sequence's token scores; null scores count 0."""
     return F.aggregate(F.coalesce(scores, F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))

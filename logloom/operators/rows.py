@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.text import bound
+
 # The keys that a row and its parts must have and may have.
 ROW, TOOL, FUNCTION, CALL, CALLED = ["trajectory_id", "task_id", "messages", "tools", "metadata"], ["type", "function"], ["name", "parameters"], ["id", "type", "function"], ["name", "arguments"]
 ROLES = ["system", "user", "assistant", "tool"]
@@ -167,8 +169,8 @@ def with_row_errors(df: DataFrame, body: str, out: str = "errors") -> DataFrame:
         (_kind(_at(row, "messages")) != "ARRAY", _one(F.lit("messages"), "not a list")), (_kind(_at(row, "tools")) != "ARRAY", _one(F.lit("tools"), "not a list")), (F.size("__t") == 0, _one(F.lit("tools"), "empty")), (_kind(_at(row, "metadata")) != "OBJECT", _one(F.lit("metadata"), "not an object")),
     )
     found = typed.withColumn("__e", F.when(F.size(top) > 0, top).otherwise(parts))
-    names = F.transform("__t", lambda t: t["name"])
-    return found.withColumn(out, F.when(F.size("__e") > 0, F.col("__e")).otherwise(_conversation_errors(F.col("__m"), names))).drop("__row", "__m", "__t", "__e")
+    together = bound(F.transform("__t", lambda t: t["name"]), lambda names: _conversation_errors(F.col("__m"), names))
+    return found.withColumn(out, F.when(F.size("__e") > 0, F.col("__e")).otherwise(together)).drop("__row", "__m", "__t", "__e")
 
 
 def training_json(df: DataFrame, tools: str, metadata: Sequence[str], out: str = "row") -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.plans import curation, datasets, evaluation, inventory, nested, preprocess, training
+from logloom.plans import curation, datasets, detail, evaluation, inventory, nested, preprocess, training
 
 FLAGSHIP = "agg_05_task_rewards"
-_MODULES = [evaluation, curation, datasets, preprocess, inventory, nested, training]
+_MODULES = [evaluation, curation, datasets, preprocess, inventory, nested, training, detail]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
