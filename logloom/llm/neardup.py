@@ -105,7 +105,7 @@ def _ratio(a: str, b: str) -> Column:
 
 
 def similar_classes(one: DataFrame) -> DataFrame:
-    """``a, b, similarity``: pairs of classes (a < b) at or above the limit."""
+    """``a, b, similarity``: pairs of classes (a < b) at or above the limit; written."""
     lists = _lists(one)
     several = lists.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     kept = materialize(lists.join(several, "key", "left_semi"), "lists")
@@ -127,13 +127,15 @@ def similar_classes(one: DataFrame) -> DataFrame:
     whole = F.size("ga") + F.size("gb") - F.col("inter")
     exact = ready.select("a", "b", "ta", "tb", "ga", "gb", inter.alias("inter")).select("a", "b", "ta", "tb", F.when(whole > 0, F.col("inter") / whole).otherwise(1.0).alias("jaccard"))
     scored = exact.filter(F.col("jaccard") >= LEAST_JACCARD - 1e-9).select("a", "b", (F.col("jaccard") * TEXT_WEIGHT + _ratio("ta", "tb") * TOOL_WEIGHT).alias("similarity"))
-    return scored.filter(F.col("similarity") >= LIMIT - 1e-12)
+    found = materialize(scored.filter(F.col("similarity") >= LIMIT - 1e-12), "pairs")
+    drop(pairs)
+    return found
 
 
 def near_duplicates(candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members, classes and the pairs of classes; all written, so each is computed once."""
     members, one = classes(features(candidates))
-    return members, one, materialize(similar_classes(one), "pairs")
+    return members, one, similar_classes(one)
 
 
 def similar_pairs(candidates: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import encode, neardup, packing, runs, sentences, splits, topn, varied
-from logloom.session import latest, table, task_number
+from logloom.session import drop, latest, table, task_number
 
 
 def setting(spark: SparkSession, sf_dir: str, name: str, default: float) -> float:
@@ -61,6 +61,7 @@ def p4_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = accepted.join(known, "trajectory_id", "left").select(F.col("trajectory_id").alias("id"), "task", "tier", "fresh", F.coalesce("grams", F.array().cast("array<bigint>")).alias("grams"))
     size = varied.subset_size(accepted.count(), setting(spark, sf_dir, "subset_share", 0.25))
     chosen = varied.choose(rows, size, int(setting(spark, sf_dir, "subset_min_per_task", 1)))
+    drop(members, one, pairs)  # the rows are written by now
     return chosen.select(F.col("id").alias("trajectory_id"), F.col("task").alias("task_id"), "tier", "cluster", "phase")
 
 
