@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from logloom.operators import curation, facts, preprocess, rollout
+from logloom.operators import curation, datasets, facts, preprocess, rollout
 from logloom.functions.tokens import offset_tokenizer, public_tokenizer, tokenizer_path
 from logloom.sinks import writers
 from logloom.sources import files, readers
@@ -137,3 +137,35 @@ def test_a_large_pool_is_chosen_from_pick_by_pick(spark, monkeypatch):
         monkeypatch.undo()
         assert got == want and len(got) == target and len({r[0] for r in got}) == target
     assert curation.select_greedily(df.limit(0), 4, 1).count() == 0
+
+
+def test_replays_signals_and_lines(spark):
+    events = [("a", i, i in (2, 4, 5)) for i in range(8)] + [("b", i, None) for i in range(4)] + [("c", 0, True)]
+    df = spark.createDataFrame(events, "k string, at int, bad boolean")
+    got = {r.k: (r.ended_at, r.reason) for r in rollout.replayed_ends(df, "k", "at", "bad", 3, 4).collect()}
+    assert got == {"a": (3, "max_steps"), "b": (3, "max_steps"), "c": (None, "running")}
+    assert rollout.replayed_ends(df, "k", "at", "bad", 2, 5).filter("k = 'a'").first().reason == "too_many_errors"
+    spans = spark.createDataFrame([([(0.0, 0.0, False)],), ([(0.0, 0.5, None)],), ([(None, None, True)],), ([],)], "s array<struct<progress:double,fact:double,error:boolean>>")
+    assert [r.x for r in spans.select(rollout.has_local_signal(F.col("s")).alias("x")).collect()] == [False, True, True, False]
+    metrics = spark.createDataFrame([("m", "reward/success_count", 3.0), ("m", "rollout/valid_trajectories", 8.0), ("m", "timing_s/gen", 173.04), ("m", "perf/mfu/actor", 0.42)], "k string, metric string, value double")
+    line = rollout.step_lines(metrics, ["k"], 9).first()
+    assert line.first_line == "[step 9] reward 3/8 | mixed 0/0 | rollout 173.0s | retries 0" and "MFU 42.0%" in line.second_line
+
+
+def test_runtime_rows_and_missing_trials(spark):
+    from logloom.operators import evaluation
+
+    call = "struct<id:string,name:string,arguments:string>"
+    kind = f"task_id string, duration double, reward double, agent_cost double, messages array<struct<role:string,error:boolean,tool_calls:array<{call}>,usage:struct<prompt_tokens:bigint,completion_tokens:bigint>>>"
+    df = spark.createDataFrame([("1", 1.23456, 1.0, 0.5, [("assistant", None, [("i", "f", "{}")], (100, 7)), ("tool", True, None, None), ("user", None, None, (5, None)), ("assistant", None, None, (200, None))]), ("2", None, None, None, None)], kind)
+    first, second = sorted(evaluation.runtime_rows(df).collect(), key=lambda r: r.task_id)
+    assert (first.duration_seconds, first.env_reward, first.agent_cost, first.assistant_messages, first.tool_calls, first.tool_errors) == (1.235, 1.0, 0.5, 2, 1, 1)
+    assert (first.agent_input_tokens, first.agent_output_tokens, first.user_input_tokens, first.user_output_tokens) == (300, 7, 5, 0) and second.tool_messages == 0 and second.duration_seconds is None
+    turns = df.select(*[c.alias(n) for n, c in curation.assistant_tokens(F.col("messages")).items()]).collect()
+    assert [tuple(r) for r in turns] == [(2, 7, 200), (0, 0, 0)]
+    trials = spark.createDataFrame([("x", "1", 0), ("x", "1", 2), ("y", "1", 0), ("y", "1", 1), ("y", "1", 2), ("z", "9", 0), ("x", None, 0)], "m string, task_id string, trial int")
+    assert {tuple(r) for r in evaluation.missing_trials(trials, "m", ["x", "y"], 3).collect()} == {("x", "1", "1")}
+    ratios = spark.createDataFrame([([1, 2, 3], [1, 3]), ([], [])], "a array<bigint>, b array<bigint>").select(curation.match_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    assert [r.r for r in ratios] == [0.8, 1.0]
+    lengths = spark.createDataFrame([(600,), (5000,), (None,)], "n int").select(datasets.training_length(F.col("n"), 512, 4096).alias("l")).collect()
+    assert [r.l for r in lengths] == [1024, None, None]
