@@ -112,6 +112,7 @@ def replayed_ends(events: DataFrame, key: str, place: str, error: str, most_erro
 
 def step_lines(metrics: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
     """``keys, first_line, second_line``: a step told in two lines from ``metric, value`` rows; metrics that are missing are 0."""
+    # The lines' format and the metrics they tell.
     whole = lambda name: F.coalesce(F.max(F.when(F.col("metric") == name, F.col("value"))), F.lit(0.0)).cast("long")
     real = lambda name: F.coalesce(F.max(F.when(F.col("metric") == name, F.col("value"))), F.lit(0.0))
     first = F.format_string(

@@ -218,7 +218,7 @@ def oracle_sql() -> dict[str, str]:
           select trajectory_id, array_to_string(x, ',') as errors from e""",
         "jon_07_recoveries": f"""with {_N}, u as (select trajectory_id, generate_subscripts(messages, 1) - 1 as pos, unnest(messages) as m from l where len(messages) > 0),
           c0 as (select trajectory_id, pos, generate_subscripts(m.tool_calls, 1) as j, unnest(m.tool_calls) as c from u where m.role = 'assistant'),
-          c1 as (select trajectory_id, pos, j, c.id as id, c.name as name, case when json_valid(c.arguments) and json_type(c.arguments) = 'OBJECT' then array_to_string(list_sort(list_transform(json_keys(c.arguments), lambda k: k || chr(1) || json_extract(c.arguments, '$."' || k || '"')::varchar)), chr(2)) else c.arguments end as doc from c0),
+          c1 as (select trajectory_id, pos, j, c.id as id, c.name as name, case when json_valid(c.arguments) and json_type(c.arguments) = 'OBJECT' then '{{' || array_to_string(list_sort(list_transform(json_keys(c.arguments), lambda k: k || chr(1) || json_extract(c.arguments, '$."' || k || '"')::varchar)), chr(2)) else c.arguments end as doc from c0),
           c2 as (select *, row_number() over w - 1 as ord, lead(pos) over w as npos, lead(name) over w as nname, lead(doc) over w as ndoc from c1 window w as (partition by trajectory_id order by pos, j)),
           a as (select trajectory_id, m.tool_call_id as id, min(pos) as apos, arg_min(coalesce(m.error, false), pos) as error from u where m.role = 'tool' and m.tool_call_id is not null group by 1, 2),
           q as (select c2.*, a.apos, a.error, (select min(x.pos) from u x where x.trajectory_id = c2.trajectory_id and x.m.role = 'user' and x.pos > a.apos) as asked from c2 left join a on a.trajectory_id = c2.trajectory_id and a.id = c2.id)

@@ -222,7 +222,7 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
 
 def win_10_potential_advantage(spark: SparkSession, d: str) -> DataFrame:
     a = cr.potential_advantage(F.col("outcome"), F.col("progress"), F.col("fact"), F.col("error"), 0.4, 0.1, 0.3)
-    return _spans(spark, d).select("trajectory_id", "message_index", "call_pos", F.round(a, 4).alias("advantage"))
+    return _spans(spark, d).select("trajectory_id", "message_index", "call_pos", F.round(a, 8).alias("advantage"))
 
 
 def win_11_anchored_advantage(spark: SparkSession, d: str) -> DataFrame:
@@ -336,7 +336,7 @@ def oracle_sql() -> dict[str, str]:
         "win_05_fact_coverage": f"with {_FACTS}, {_SHOWN} select trajectory_id, message_index, new_facts, new_fact_progress from sh",
         "win_04_progress": f"with {_TURNS} select trajectory_id, message_index, call_pos, potential, new_progress from p",
         "agg_30_progress_summary": f"with {_TURNS} select trajectory_id, round(sum(new_progress), 6) as progress, count(*) filter (new_progress > 0) as progress_turns, count(*) filter (error) as error_turns, arg_max(potential, message_index * 1000 + call_pos) as final_potential, max(potential) as best_potential from p group by 1",
-        "win_10_potential_advantage": f"with {_SPANS} select trajectory_id, message_index, call_pos, round(case when error then -0.3 when 0.4 * progress + 0.1 * fact > 0 then greatest(outcome, 0) + 0.4 * progress + 0.1 * fact else outcome end, 4) as advantage from q",
+        "win_10_potential_advantage": f"with {_SPANS} select trajectory_id, message_index, call_pos, round(case when error then -0.3 when 0.4 * progress + 0.1 * fact > 0 then greatest(outcome, 0) + 0.4 * progress + 0.1 * fact else outcome end, 8) as advantage from q",
         "win_11_anchored_advantage": f"with {_SPANS}, z as (select *, sum(q * tokens) over (partition by trajectory_id) / all_tokens as mq from q) select trajectory_id, message_index, call_pos, round(q, 4) as q, round(case when reward > 0.5 and outcome > 0 then outcome * (1 + 0.4 * (q - mq)) else outcome end, 4) as advantage from z",
         "src_11_first_of_split": "select task_id from (select distinct task_id from tasks where extra_info.split = 'test') order by task_id::bigint limit 40",
         "src_12_task_rows": "select task_id, 'retail_sim' as data_source, printf('Work on retail task %s.', task_id) as prompt, max(tau2_seed) as tau2_seed from tasks where task_id is not null group by task_id",

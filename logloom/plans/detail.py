@@ -126,9 +126,9 @@ def jon_06_full_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jon_12_changed_leaves(spark: SparkSession, d: str) -> DataFrame:
-    """What the last delivery of a trajectory's raw record changed against the first: leaves that are new or different, and leaves that are gone."""
-    rows = table(spark, d, "candidate_records").select(F.coalesce(F.get_json_object("body", "$.trajectory_id"), F.get_json_object("body", "$.id")).alias("trajectory_id"), F.struct("received_at", "body").alias("at"), "body").filter("trajectory_id IS NOT NULL")
-    ends = rows.groupBy("trajectory_id").agg(F.min_by("body", "at").alias("old"), F.max_by("body", "at").alias("new")).filter("old <> new")
+    """What judging a candidate anew changed in its judgement: leaves that are new or different, and leaves that are gone."""
+    rows = table(spark, d, "candidates").filter("trajectory_id IS NOT NULL AND ingested_at IS NOT NULL").select("trajectory_id", "ingested_at", F.to_json("semantic_screening").alias("doc")).filter("doc <> '{}'")
+    ends = rows.groupBy("trajectory_id").agg(F.min_by("doc", "ingested_at").alias("old"), F.max_by("doc", "ingested_at").alias("new")).filter("old <> new")
     found = fc.changed_leaves(fc.leaf_rows(ends, "trajectory_id", "old"), fc.leaf_rows(ends, "trajectory_id", "new"), "trajectory_id")
     return found.groupBy("trajectory_id").agg(F.count_if(F.col("vtype").isNotNull()).alias("changed"), F.count_if(F.col("vtype").isNull()).alias("gone"))
 
@@ -145,6 +145,11 @@ def oracle_sql() -> dict[str, str]:
     metric = lambda name: f"coalesce(max(case when metric = '{name}' then value end), 0)::bigint"
     figures = "min(n_chars)::double as least, max(n_chars)::double as most, round(avg(n_chars), 6) as mean, " + ", ".join(f"round(quantile_cont(n_chars, {p}), 6)::double as {n}" for n, p in (("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)))
     return {
+        "jon_12_changed_leaves": "with r as (select trajectory_id, ingested_at, semantic_screening as s from candidates where trajectory_id is not null and ingested_at is not null and (semantic_screening.decision is not null or semantic_screening.confidence is not null or semantic_screening.judge_model is not null or semantic_screening.prompt_version is not null)), e as (select trajectory_id, arg_min(s, ingested_at) as o, arg_max(s, ingested_at) as n from r group by 1), k as (select trajectory_id, "
+        + " + ".join(f"case when n.{c} is not null and o.{c} is distinct from n.{c} then 1 else 0 end" for c in ("decision", "confidence", "judge_model", "prompt_version"))
+        + " as changed, "
+        + " + ".join(f"case when o.{c} is not null and n.{c} is null then 1 else 0 end" for c in ("decision", "confidence", "judge_model", "prompt_version"))
+        + " as gone from e) select * from k where changed + gone > 0",
         "prj_02_audit_reference": "select distinct task_id, reward_model.style as style, reward_model.ground_truth as ground_truth, array_to_string(list_sort(list_filter(coalesce(order_ids, []), lambda x: x is not null)), ',') as orders from tasks where task_id is not null",
         "prj_07_payload": f"with {_N} select trajectory_id, md5(json_object('trajectory_id', trajectory_id, 'conversation', coalesce({said}, ''), 'tool_errors', coalesce(stats.tool_error_count, 0))::varchar) as payload_md5 from l where screening.hard_pass",
         "prj_11_message_counts": f"with {_N} select trajectory_id, cast(try_cast(regexp_extract(task_id, '([0-9]+)', 1) as bigint) as varchar) as task_id, trial, seed, round(outcome.duration_seconds, 3) as duration_seconds, outcome.termination_reason as termination_reason, outcome.reward as env_reward, {role('assistant')} as assistant_messages, {role('user')} as user_messages, {role('tool')} as tool_messages, coalesce(list_sum(list_transform(coalesce(messages, []), lambda m: len(coalesce(m.tool_calls, [])))), 0)::bigint as tool_calls, len(list_filter(coalesce(messages, []), lambda m: m.role = 'tool' and coalesce(m.error, false))) as tool_errors from l",

@@ -204,7 +204,7 @@ _TRANS = f"""{_COMPARED}, z as (select comparison, task_id, count(*) as trials,
 _GT = lambda c: f"case when {c} = 0 then 'all_failure' when {c} = trials then 'all_success' else 'mixed' end"
 
 
-_SIG = f"""{_ONCE}, sg as (select *, case when json_valid(arguments) and json_type(arguments) = 'OBJECT' then array_to_string(list_sort(list_transform(json_keys(arguments), lambda k: k || chr(1) ||
+_SIG = f"""{_ONCE}, sg as (select *, case when json_valid(arguments) and json_type(arguments) = 'OBJECT' then '{{' || array_to_string(list_sort(list_transform(json_keys(arguments), lambda k: k || chr(1) ||
   case when json_type(arguments, '$."' || k || '"') in ('DOUBLE', 'BIGINT', 'UBIGINT') then cast(json_extract_string(arguments, '$."' || k || '"') as double)::varchar else json_extract(arguments, '$."' || k || '"')::varchar end)), chr(2)) else coalesce(arguments, '') end as doc from o),
  sq as (select *, coalesce(name, '') || chr(3) || doc as sig, lag(coalesce(name, '') || chr(3) || doc) over (partition by trajectory_id order by message_index, call_pos) as before from sg)"""
 

@@ -17,7 +17,7 @@ from logloom.operators import preprocess as pp
 from logloom.operators import rollout as ro
 from logloom.operators import rows as rw
 from logloom.plans.curation import _N, _TRAIN, GREETINGS, SYSTEM, newest
-from logloom.plans.evaluation import _ONCE, _RUNS, runs
+from logloom.plans.evaluation import _ONCE, _RUNS, _SIG, runs
 from logloom.plans.preprocess import labelled, rendered
 from logloom.session import latest, shared_path, table, task_number
 from logloom.sinks import writers
@@ -254,6 +254,7 @@ def prj_10_review_payload(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("trajectory_id", payload.alias("payload"))
 
 
+# The features that are shown side by side.
 WIDE = [
     "reward", "success", "termination_reason", "duration_seconds", "assistant_turns", "completion_tokens", "max_prompt_tokens", "tool_calls", "read_calls", "write_calls", "utility_calls", "transfer_calls", "tool_errors", "read_errors", "write_errors",
     "exact_repeated_calls", "consecutive_exact_retries", "mixed_reply_turns", "unobserved_reference_writes", "nonreference_writes", "tool_sequence", "error_messages", "error_recoveries", "diagnostic_flags",
@@ -555,13 +556,12 @@ def oracle_sql() -> dict[str, str]:
         "aux_08_signatures": f"with {_ONCE}, s as (select name || ':' || {signature} as signature from o where starts_with(arguments, '{{') and json_valid(arguments)) select signature, count(*) as calls from s where not contains(signature, '[') and not contains(signature, '{{') group by 1",
         "aux_20_paired_messages": f"with {_ONCE}, c as (select trajectory_id, list(name order by message_index, call_pos, name, call_id) as n from o group by 1) select trajectory_id, len(n) * 2 as messages, case when len(n) > 1 then 'assistant:' || n[1] || ',tool:' || n[1] || ',assistant:' || n[2] || ',tool:' || n[2] else 'assistant:' || n[1] || ',tool:' || n[1] end as head from c",
         "prj_10_review_payload": f"with {_RUNS}, {_ONCE}, p as (select * from (select *, row_number() over (partition by model_label, task_id, trial order by trajectory_id) rn from f where task_id is not null and reward is not null) where rn = 1), oc as (select trajectory_id, count(*) as k, count(*) filter (error) as e from o group by 1) select trajectory_id, case when termination_reason is null then json_object('model', model_label, 'diagnostic_flag', case when coalesce(e, 0) > 0 then 'tool_error' else 'none' end, 'calls', coalesce(k, 0))::varchar else json_object('model', model_label, 'termination_reason', termination_reason, 'diagnostic_flag', case when coalesce(e, 0) > 0 then 'tool_error' else 'none' end, 'calls', coalesce(k, 0))::varchar end as payload from p left join oc using (trajectory_id)",
-        "prj_08_all_features": f"""with {_RUNS}, {_ONCE}, p as (select * from (select *, row_number() over (partition by model_label, task_id, trial order by trajectory_id) rn from f where task_id is not null and reward is not null) where rn = 1),
+        "prj_08_all_features": f"""with {_RUNS}, {_SIG}, p as (select * from (select *, row_number() over (partition by model_label, task_id, trial order by trajectory_id) rn from f where task_id is not null and reward is not null) where rn = 1),
           gd as (select distinct trajectory_id from f where abs(reward - 1) <= 1e-6), wr as (select task_id, list(distinct name) as wanted from o where family = 'write' and task_id is not null and trajectory_id in (select * from gd) group by 1),
           pc as (select trajectory_id, count(*) as tool_calls, {", ".join(f"count(*) filter (family = '{f}') as {n}_calls" for f, n in (("read", "read"), ("write", "write"), ("other", "utility"), ("transfer", "transfer")))}, count(*) filter (error) as tool_errors, count(*) filter (error and family = 'read') as read_errors, count(*) filter (error and family = 'write') as write_errors,
             string_agg(coalesce(name, ''), ' -> ' order by message_index, call_pos) as tool_sequence, list(distinct name) filter (family = 'write') as written from o group by 1),
           er as (select trajectory_id, '{{' || string_agg(to_json(error_text)::varchar || ':' || n, ',' order by error_text) || '}}' as error_messages from (select trajectory_id, error_text, count(*) n from o where error and error_text is not null group by 1, 2) group by 1),
-          dn as (select *, case when json_valid(arguments) and json_type(arguments) = 'OBJECT' then array_to_string(list_sort(list_transform(json_keys(arguments), lambda k: k || chr(1) || json_extract(arguments, '$."' || k || '"')::varchar)), chr(2)) else arguments end as doc from o),
-          nx as (select *, lead(name) over w as nname, lead(doc) over w as ndoc, lead(trajectory_id) over w as nt from dn window w as (partition by trajectory_id order by message_index, call_pos)),
+          nx as (select *, lead(name) over w as nname, lead(doc) over w as ndoc, lead(trajectory_id) over w as nt from sg window w as (partition by trajectory_id order by message_index, call_pos)),
           rc as (select trajectory_id, case when response_message_index is null then 'missing_response' when nt is null then 'abandon' when nname is distinct from name then 'alternate_tool' when ndoc is not distinct from doc then 'exact_retry' else 'corrected_retry' end as recovery from nx where response_message_index is null or error),
           rj as (select trajectory_id, '{{' || string_agg('"' || recovery || '":' || n, ',' order by recovery) || '}}' as error_recoveries from (select trajectory_id, recovery, count(*) n from rc group by 1, 2) group by 1),
           a as (select p.*, abs(reward - 1) <= 1e-6 as ok, {", ".join(f"coalesce(pc.{c}, 0) as {c}" for c in ("tool_calls", "read_calls", "write_calls", "utility_calls", "transfer_calls", "tool_errors", "read_errors", "write_errors"))}, coalesce(tool_sequence, '') as tool_sequence, coalesce(error_messages, '{{}}') as error_messages, coalesce(error_recoveries, '{{}}') as error_recoveries, 0 as max_prompt_tokens, 0 as mixed_reply_turns,
