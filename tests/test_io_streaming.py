@@ -206,3 +206,15 @@ def test_lineage_and_analysis(spark, tmp_path):
     with pytest.raises(readers.InputError):
         lineage.require_list({}, "x")
     assert lineage.require_mapping({"a": 1}, "x") == {"a": 1}
+
+
+def test_reports_have_all_sections(spark, sf):
+    from logloom.session import table
+    from logloom.sinks import reports
+
+    runs, calls = table(spark, sf, "trajectory_features").distinct(), table(spark, sf, "tool_calls")
+    text = reports.evaluation_report(runs, calls, ["sft", "vanilla", "potential"])
+    assert [x for x in text.split("\n") if x.startswith("#")] == ["# Evaluation", "## Overview", "## Pass^k", "## Transitions", "## Tasks that changed", "## Tool errors", "## Error messages"] and "| sft |" in text
+    text = reports.dataset_report(table(spark, sf, "documents"), "doc_id", "kind", "n_chars")
+    assert [x for x in text.split("\n") if x.startswith("#")] == ["# Dataset", "## Rows", "## Lengths", "## Bins", "## Longest", "## Shortest"] and "00000-04096" in text
+    assert "## Rows" in reports.dataset_report(table(spark, sf, "documents").limit(0), "doc_id", "kind", "n_chars")
