@@ -106,13 +106,10 @@ def _ratio(a: str, b: str) -> Column:
 
 def similar_classes(one: DataFrame) -> DataFrame:
     """``a, b, similarity``: pairs of classes (a < b) at or above the limit; written."""
-    lists = _lists(one)
-    several = lists.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    kept = materialize(lists.join(several, "key", "left_semi"), "lists")
-    left, right = kept.select("key", F.col("cls").alias("a"), F.col("n").alias("na")), kept.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"))
+    lists = _lists(one)  # most hold one class alone and meet nothing; both sides of the join are the same shuffle
+    left, right = lists.select("key", F.col("cls").alias("a"), F.col("n").alias("na")), lists.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"))
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * LEAST_JACCARD)
     pairs = materialize(left.join(right, "key").filter(near).select("a", "b").distinct(), "met")
-    drop(kept)
     # Half of each value's bits keeps the order and is enough to estimate by.
     low = one.select("cls", F.transform(F.slice("grams", 1, ESTIMATE), lambda x: F.shiftright(x, 32).cast("int")).alias("low"))
     met = pairs.join(low.withColumnsRenamed({"cls": "a", "low": "la"}), "a").join(low.withColumnsRenamed({"cls": "b", "low": "lb"}), "b")
