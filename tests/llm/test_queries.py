@@ -3,7 +3,8 @@ import os
 import duckdb
 import pytest
 
-from logloom.llm import queries
+from logloom.llm import neardup, queries, varied
+from logloom.session import gather, materialize
 
 
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
@@ -27,3 +28,26 @@ def test_the_subset_has_the_asked_size(spark, sf):
     con = duckdb.connect()
     accepted = con.execute(f"select count(*) from (select semantic_screening.decision as d, row_number() over (partition by trajectory_id order by ingested_at desc) rn from '{sf}/candidates.parquet') where rn = 1 and d = 'accepted'").fetchone()[0]
     assert len(got) == len({r.trajectory_id for r in got}) == int(accepted * 0.25 + 0.5)
+
+
+def test_word_runs_and_traces_are_never_broadcast(spark, sf, monkeypatch):
+    sent = []
+
+    def look(node):
+        if node.nodeName() == "BroadcastHashJoin":
+            sent.append((node.left() if node.buildSide().toString() == "BuildLeft" else node.right()).schema().simpleString())
+        for i in range(node.children().size()):
+            look(node.children().apply(i))
+
+    def noted(df, *args, **kw):
+        look(df._jdf.queryExecution().sparkPlan())
+        return materialize(df, *args, **kw)
+
+    def gathered(frames, *args):
+        return gather((look(df._jdf.queryExecution().sparkPlan()) or df for df in frames), *args)
+
+    for module in (neardup, varied):
+        monkeypatch.setattr(module, "materialize", noted)
+    monkeypatch.setattr(neardup, "gather", gathered, raising=False)
+    queries.p4_subset(spark, sf)
+    assert sent and not [x for x in sent if "array" in x]
